@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import tokenize
+from lexweave.llm import sentences, tokenize
+
+
+def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of both graphs: chunk.text and kb_node.contenuto as (node_id, text)."""
+    chunk = table(spark, sf_dir, "chunk").select(F.col("chunk_id").alias("node_id"), "text")
+    return chunk.unionByName(table(spark, sf_dir, "kb_node").select("node_id", F.col("contenuto").alias("text")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_spans(node_texts(spark, sf_dir), "node_id", "text")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +26,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
