@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import sentences, tokenize
+from lexweave.llm import pack, sentences, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict[str, str]:
