@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import pack, sentences, tokenize
+from lexweave.llm import pack, sentences, split, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(node_texts(spark, sf_dir), "node_id", "text")
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_pieces(node_texts(spark, sf_dir), "node_id", "text", limit=1200, overlap=120)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("piece = 0 AND pieces > 1").select("node_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -30,7 +38,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict[str, str]:
