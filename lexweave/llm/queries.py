@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import pack, sentences, split, tokenize
+from lexweave.llm import pack, sentences, spam, split, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,12 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
