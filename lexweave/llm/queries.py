@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import pack, sentences, spam, split, tokenize
+from lexweave.llm import pack, pii, sentences, spam, split, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(node_texts(spark, sf_dir), "node_id", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_items(table(spark, sf_dir, "chunk"), "chunk_id", "text")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "chunk"), "chunk_id", "text")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_pieces(node_texts(spark, sf_dir), "node_id", "text", limit=1200, overlap=120)
 
@@ -42,7 +50,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
