@@ -297,7 +297,8 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                     if len(word) == 1 and word.isalpha():
                         continue
                     if _NAME4.search(text, max(start, i - 6), i) and word.lower() not in FORMS and follow.isupper() and k >= start and text[nxt + 1 : nxt + 2].islower() and len(word) == 4:
-                        if text[max(start, k - 12) : k + 1].strip() and not text[max(start, k - 12) : k + 1].rstrip().endswith("."):
+                        before = text[max(start, k - 12) : k + 1].rstrip()
+                        if before and (before[-1] != "." or _abbreviation(text, max(start, k - 12) + len(before) - 1, start) == "N"):
                             continue
                     if _LOWER_GOES_ON.match(follow) and not fresh:
                         continue
