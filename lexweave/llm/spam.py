@@ -49,7 +49,7 @@ FUNCTION_WORDS = {
     "es": "el la los las un una de del a al en con por para y o pero si que no es se su sobre desde lo como más le fue ha debe",
 }
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_TOKEN = re.compile(r"\S+")
+_FIGURE = re.compile(r"(?<!\S)[^\s\d]*\d")
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"(?i)https?:|www\.|href=|</?a\b|\]\(|\w\.(?:[a-z]{2,10})/|^#\w")
 _RUN = re.compile(r"^[#;,\s]*[^\W\d_]{13,}[;,]?$|[a-zà-ÿ][A-ZÀ-Þ][a-zà-ÿ]")
@@ -72,33 +72,40 @@ def _language(words: list[str], text: str, declared: str | None) -> str:
 
 def features(text: str | None, declared: str | None = None) -> tuple[str, tuple[float, ...]] | None:
     """Detected language ('' if unknown) and the medians over the windows, None for texts too short to judge."""
-    tokens = _TOKEN.findall(text or "")
+    tokens = (text or "").split()
     if len(tokens) < LEAST:
         return None
-    words = [_WORD.findall(t.lower()) for t in tokens]
-    lang = _language([w for ws in words for w in ws], text, declared)
+    windows = max(1, round(len(tokens) / WINDOW))
+    cuts = [round(k * len(tokens) / windows) for k in range(windows + 1)]
+    parts = [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
+    words = [_WORD.findall(" ".join(p).lower()) for p in parts]
+    lang = _language(words[0] if windows == 1 else [w for ws in words for w in ws], text, declared)
     function = _SETS.get(lang) or _SETS["it"]
     known = lang in _SETS or lang == ""
-    step = len(tokens) / max(1, round(len(tokens) / WINDOW))
-    cuts = [round(k * step) for k in range(round(len(tokens) / step) + 1)]
-    rows = []
-    for a, b in zip(cuts, cuts[1:]):
-        n = b - a
-        link = sum(1 for t in tokens[a:b] if _LINK.search(t) or _RUN.search(t)) / n
-        ws = [w for x in words[a:b] for w in x]
-        m = max(1, len(ws))
-        count = Counter(w for w in ws if len(w) > 3)
-        content = sum(count.values())
-        rows.append(
-            (
-                link,
-                1 - len(count) / content if content > 4 else 0.0,
-                -sum(v / content * log(v / content) for v in count.values()) / log(content) if content > 4 else 1.0,
-                sum(w in function for w in ws) / m if known else 0.3,
-                sum(any(c.isdigit() for c in t) for t in tokens[a:b]) / n,
-            )
-        )
-    return lang, tuple(float(v) for v in np.median(np.array(rows), axis=0))
+    cols: tuple[list[float], ...] = ([], [], [], [], [])
+    for toks, ws in zip(parts, words):
+        n, m = len(toks), max(1, len(ws))
+        content = [w for w in ws if len(w) > 3]
+        c = len(content)
+        repeats, entropy = 0.0, 1.0
+        if c > 4:
+            counts = Counter(content)
+            repeats = 1 - len(counts) / c
+            if repeats:
+                entropy = 1 - sum([v * log(v) for v in counts.values() if v > 1]) / (c * log(c))
+        link = sum([1 for t in toks if (len(t) > 8 or t[0] == "#" or "<" in t) and (_LINK.search(t) or _RUN.search(t))])
+        values = (link / n, repeats, entropy, len([1 for w in ws if w in function]) / m if known else 0.3, len(_FIGURE.findall(" ".join(toks))) / n)
+        for col, v in zip(cols, values):
+            col.append(v)
+    if windows == 1:
+        return lang, tuple(col[0] for col in cols)
+    return lang, tuple(_median(col) for col in cols)
+
+
+def _median(values: list[float]) -> float:
+    values.sort()
+    k = len(values) // 2
+    return values[k] if len(values) % 2 else (values[k - 1] + values[k]) / 2
 
 
 def described(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
