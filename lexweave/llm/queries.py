@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import pack, pii, sentences, spam, split, tokenize
+from lexweave.llm import neardup, pack, pii, sentences, spam, split, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece = 0 AND pieces > 1").select("node_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, sf_dir, "chunk"), "chunk_id", "text").toDF("chunk_id_a", "chunk_id_b")
+
+
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "chunk"), "chunk_id", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -50,7 +58,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
