@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import neardup, pack, pii, sentences, spam, split, tokenize
+from lexweave.llm import neardup, neighbours, pack, pii, sentences, spam, split, tokenize
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece = 0 AND pieces > 1").select("node_id")
 
 
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of both graphs as (node_id, embedding)."""
+    chunk = table(spark, sf_dir, "chunk").select(F.col("chunk_id").alias("node_id"), "embedding")
+    return chunk.unionByName(table(spark, sf_dir, "kb_node").select("node_id", "embedding"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.close_pairs(node_vectors(spark, sf_dir), "node_id", "embedding").toDF("node_id_a", "node_id_b")
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar of all vectors for every node whose hashed id is divisible by 20."""
+    return neighbours.nearest(node_vectors(spark, sf_dir), "node_id", "embedding", query="pmod(xxhash64(id), 20) = 0")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "chunk"), "chunk_id", "text").toDF("chunk_id_a", "chunk_id_b")
 
@@ -58,7 +73,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
