@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import neardup, neighbours, pack, pii, sentences, spam, split, tokenize
+from lexweave.llm import canonical, neardup, neighbours, pack, pii, sentences, spam, split, tokenize
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_laws(table(spark, sf_dir, "kb_document"), table(spark, sf_dir, "law_ref"))
 
 
 def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
