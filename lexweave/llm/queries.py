@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import canonical, neardup, neighbours, pack, pii, sentences, spam, split, tokenize
+from lexweave.llm import canonical, names, neardup, neighbours, pack, pii, sentences, spam, split, tokenize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "chunk"), "chunk_id", "text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(table(spark, sf_dir, "entity"), "entity_id", "text").toDF("entity_id_a", "entity_id_b")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.classes(table(spark, sf_dir, "entity"), "entity_id", "text")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_pieces(node_texts(spark, sf_dir), "node_id", "text", limit=1200, overlap=120)
 
@@ -77,7 +85,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
