@@ -42,7 +42,7 @@ SEEN = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _WORD_MARKS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_MARKS = re.compile("[̀-ͯ҃-҉֑-῿⃐-⃿〪-゙゚〯︀-︯\U00010000-\U0010ffff]")
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u1fff\u20d0-\u20ff\u302a-\u302f\u3099\u309a\ufe00-\ufe2f\U00010000-\U0010ffff]")
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 2**64, SEGMENTS * WIDTH + SKETCH, np.uint64, endpoint=False) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, SEGMENTS * WIDTH + SKETCH, np.uint64, endpoint=False)
