@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import spread
+
 #: Kinds of headings, the first that matches a line start counts (fixed values).
 SECTIONS = [(k, rf"(?i)^{k}\s+[IVXLC]+") for k in ("PARTE", "LIBRO", "TITOLO", "CAPO", "SEZIONE")] + [("ARTICOLO", r"(?i)^Art\.*\s*\d+")]
 #: Ordinals of inserted articles (fixed values).
@@ -94,4 +96,4 @@ def structured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def cleaned(df: DataFrame, id_col: str, text_col: str, keep_articles: bool = False) -> DataFrame:
     """The whole normalisation: rows (``id_col``, clean_text). Null texts give an empty one; ids must be unique."""
     x = collapsed(without_updates(without_note_markers(F.col(text_col)), keep_articles))
-    return structured(df.select(F.col(id_col), x.alias("normal_text")), id_col, "normal_text")
+    return structured(spread(df.select(id_col, text_col)).select(F.col(id_col), x.alias("normal_text")), id_col, "normal_text")

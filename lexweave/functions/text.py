@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.session import spread
+
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Stand for a blank that may not be split at, and for a place to split at (private characters).
 HELD, CUT = "\ue000", "\ue001"
@@ -48,7 +50,7 @@ def grouped_sentences(sentences: Column, size: int = 2) -> Column:
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = 2) -> DataFrame:
     """Rows (``id_col``, idx, chunk_id, text). The chunk id is a hash of document, place and text: loading again changes nothing."""
-    s = docs.select(F.col(id_col).alias("doc"), sentence_array(F.col(text_col)).alias("s"))
+    s = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), sentence_array(F.col(text_col)).alias("s"))
     c = s.select("doc", F.posexplode(grouped_sentences(F.col("s"), size)).alias("idx", "text"))
     key = F.sha2(F.concat_ws("\x1f", F.col("doc").cast("string"), F.col("idx").cast("string"), "text"), 256)
     return c.select(F.col("doc").alias(id_col), "idx", key.alias("chunk_id"), "text")

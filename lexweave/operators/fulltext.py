@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import tokens
+from lexweave.session import spread
 
 K1, B = 1.2, 0.75
+#: A token, and what keeps a term from being part of a longer one.
+WORD, NOT_AFTER, NOT_BEFORE = r"[\p{L}\p{N}]+", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
 def query_terms(query: str) -> list[str]:
@@ -33,9 +36,10 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, phrase: bool
     terms = query_terms(query)
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("w IS NOT NULL")
-    count = lambda term: F.size(F.filter("w", lambda x: x == term)).cast("double")
-    counted = t.select("id", F.size("w").cast("double").alias("len"), *(count(x).alias(f"tf{i}") for i, x in enumerate(terms)), *([_phrase_count(terms).alias("ptf")] if phrase else []))
+    t = spread(docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("x")).where("x IS NOT NULL"))
+    # counted by patterns on the text: no array of tokens is built
+    count = lambda pattern: F.regexp_count("x", F.lit(pattern)).cast("double")
+    counted = t.select("id", count(WORD).alias("len"), *(count(f"{NOT_AFTER}{x}{NOT_BEFORE}").alias(f"tf{i}") for i, x in enumerate(terms)), *([count(_phrase(terms)).alias("ptf")] if phrase else []))
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
     both = counted.crossJoin(F.broadcast(stats))  # a single row
     dfs = [F.col(f"df{i}") for i in range(len(terms))]
@@ -47,11 +51,10 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, phrase: bool
     return both.where(has).select(F.col("id").alias(id_col), score.alias("score"))
 
 
-def _phrase_count(terms: list[str]) -> Column:
-    w = F.col("w")
-    starts = F.filter(F.transform(w, lambda x, i: F.when(x == terms[0], i)), lambda i: i.isNotNull())
-    match = lambda i: reduce(Column.__and__, (F.coalesce(F.get(w, i + k) == t, F.lit(False)) for k, t in enumerate(terms)))
-    return F.size(F.filter(starts, match)).cast("double")
+def _phrase(terms: list[str]) -> str:
+    """Pattern of the terms in a row; only the first is consumed, so that phrases may overlap."""
+    rest = "".join(rf"[^\p{{L}}\p{{N}}]+{t}" for t in terms[1:])
+    return rf"{NOT_AFTER}{terms[0]}(?={rest}{NOT_BEFORE})"
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -56,3 +56,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a CPU-bound exchange: follows the session, never the size of a test."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over enough tasks for work that is bound by CPU.
+
+    A table in a few files or row groups would keep most cores idle; its rows are dealt out. Where the scan gives two
+    tasks a core or more, as large tables do, nothing is exchanged.
+    """
+    if df.isStreaming:
+        return df
+    sc = df.sparkSession.sparkContext
+    want = 2 * sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
