@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.session import spread
+
 #: Abbreviations after which a sentence goes on (fixed values).
 NEVER = """
 art artt all co comma lett n nr nn num núm prot rif fasc sent proc sez doc pag pagg p pp fg mapp sub cfr cf v vs r.g c.f p.iva part
@@ -209,7 +211,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             thai = "฀" <= nxt <= "๿"
             if thai:
                 pass
-            elif at_line_start and len(here) <= 60 and (here.isupper() and len(here) > 3 or _HEAD.match(here)) and (fits or blank):
+            elif at_line_start and len(here) <= 60 and (here.isupper() and 3 < len(here) <= 45 and not re.search(r"\d", here) and (blank or not text[end : end + 30].isupper()) or _HEAD.match(here)) and (fits or blank):
                 pass
             elif at_line_start and len(here) <= 45 and opens and (fits or blank) and here[0].isupper() and not re.search(r"\d", here):
                 pass
@@ -258,7 +260,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             capital = follow.isupper() or follow in "«“„\"¿¡「‹" or (follow == "(" and nxt + 1 < stop and text[nxt + 1].isupper())
             fresh = capital or bool(_ENUM.match(text, nxt))
             if "…" in mark or len(mark) >= 3:
-                if nxt == end or not capital:
+                if nxt == end or not capital or text[max(0, i - 3) : i].isupper() and text[nxt : nxt + 2].isupper():
                     continue
             elif nxt == end:
                 # No space: only a word or number before and a new capitalised word after.
@@ -296,9 +298,9 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                     word = text[k + 1 : i]
                     if len(word) == 1 and word.isalpha():
                         continue
-                    if _NAME4.search(text, max(start, i - 6), i) and word.lower() not in FORMS and follow.isupper() and k >= start and text[nxt + 1 : nxt + 2].islower() and len(word) == 4:
+                    if _NAME4.search(text, max(start, i - 6), i) and word.lower() not in FORMS and follow.isupper() and k + 1 >= start and text[nxt + 1 : nxt + 2].islower() and len(word) == 4:
                         before = text[max(start, k - 12) : k + 1].rstrip()
-                        if before and (before[-1] != "." or _abbreviation(text, max(start, k - 12) + len(before) - 1, start) == "N"):
+                        if not before or k + 1 == start or (before[-1] != "." or _abbreviation(text, max(start, k - 12) + len(before) - 1, start) == "N"):
                             continue
                     if _LOWER_GOES_ON.match(follow) and not fresh:
                         continue
@@ -328,4 +330,4 @@ def sentence_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "start_pos", "end_pos"])
 
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
-    return src.mapInArrow(run, schema).toDF(id_col, "start_pos", "end_pos")
+    return spread(src).mapInArrow(run, schema).toDF(id_col, "start_pos", "end_pos")
