@@ -12,6 +12,11 @@ SECTIONS = [(k, rf"(?i)^{k}\s+[IVXLC]+") for k in ("PARTE", "LIBRO", "TITOLO", "
 #: Ordinals of inserted articles (fixed values).
 ORDINALS = "bis|ter|quater|quinquies|sexies|septies|octies|novies|decies"
 
+#: Blocks that are dropped from a text (fixed values): updates, dashed blocks, validity lines, double brackets.
+BLOCKS = [r"(?s)AGGIORNAMENTO.*?(?=\n\n)", r"(?s)-{3,}.*?-{3,}", r"(?s)Vigente al.*?\n", r"(?s)\({2}.*?\){2}"]
+#: Double brackets that do not hold an article.
+LOOSE_BRACKETS = r"(?s)\(\((?!Art\.?\s*\d).*?\)\)"
+
 
 def section_kind(line: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -29,10 +34,10 @@ def without_note_markers(text: Column) -> Column:
 
 def without_updates(text: Column, keep_articles: bool = False) -> Column:
     """Drops update blocks, dashed blocks, validity lines and double brackets (``keep_articles``: not ((Art. ...)))."""
-    x = F.regexp_replace(text, r"(?s)AGGIORNAMENTO.*?(?=\n\n)", "")
-    x = F.regexp_replace(x, r"(?s)-{3,}.*?-{3,}", "")
-    x = F.regexp_replace(x, r"(?s)Vigente al.*?\n", "")
-    return F.regexp_replace(x, r"(?s)\(\((?!Art\.?\s*\d).*?\)\)" if keep_articles else r"(?s)\({2}.*?\){2}", "")
+    x = text
+    for pattern in [*BLOCKS[:-1], LOOSE_BRACKETS if keep_articles else BLOCKS[-1]]:
+        x = F.regexp_replace(x, pattern, "")
+    return x
 
 
 def collapsed(text: Column) -> Column:

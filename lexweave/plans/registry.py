@@ -13,6 +13,7 @@ from lexweave.functions import vectors as vec
 from lexweave.operators import fulltext, graph, law, quality, relations, search
 from lexweave.plans import sql
 from lexweave.session import table
+from lexweave.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -214,6 +215,18 @@ def leaf_nodes(spark, d):
     return graph.leaves(table(spark, d, "kb_node")).select("node_id", "label")
 
 
+@query
+def kb_json_flatten(spark, d):
+    """The nodes of each law written as one nested JSON object and read back."""
+    n = table(spark, d, "kb_node")
+    kids = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("node_id", "titolo", "rubrica")))), lambda x: F.struct(x["titolo"].alias("titolo"), x["rubrica"].alias("rubrica")))
+    laws = n.groupBy("kb_id").agg(kids("parti").alias("parti"), kids("contenuto").alias("contenuto")).join(table(spark, d, "kb_document"), "kb_id")
+    body = F.to_json(F.struct(F.struct("nome_legge", "anno", "parti", "contenuto").alias("Document")))
+    nodes = corpus.nodes_of(laws.select(F.col("kb_id").cast("string").alias("name"), body.alias("text")))
+    roots = nodes.where("label = 'Document'").select(F.col("node_id").alias("parent_id"), F.col("props")["anno"].cast("int").alias("anno"))
+    return nodes.join(roots, "parent_id").select("nome_legge", "anno", "label", "titolo", "rubrica", "child_pos", "depth")
+
+
 @query
 def label_scan_filter(spark, d):
     return table(spark, d, "kb_node").where("label = 'contenuto' AND contenuto IS NOT NULL").select("node_id", "titolo")

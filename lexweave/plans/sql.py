@@ -142,6 +142,8 @@ ORACLE: dict[str, str] = {
     "hierarchy_descendants": """WITH RECURSIVE d AS (SELECT parent_id AS ancestor_id, node_id, 1 AS depth FROM kb_node WHERE parent_id IS NOT NULL
       UNION ALL SELECT d.ancestor_id, n.node_id, d.depth + 1 FROM d JOIN kb_node n ON n.parent_id = d.node_id) SELECT * FROM d""",
     "leaf_nodes": "SELECT node_id, label FROM kb_node n WHERE NOT EXISTS (SELECT 1 FROM kb_node c WHERE c.parent_id = n.node_id)",
+    "kb_json_flatten": """SELECT coalesce(nullif(d.nome_legge, ''), 'Unknown') AS nome_legge, d.anno::INT AS anno, n.label, n.titolo, n.rubrica,
+      (row_number() OVER (PARTITION BY n.kb_id ORDER BY n.label = 'parti' DESC, n.node_id) - 1)::INT AS child_pos, 1::INT AS depth FROM kb_node n JOIN kb_document d USING (kb_id)""",
     "label_scan_filter": "SELECT node_id, titolo FROM kb_node WHERE label = 'contenuto' AND contenuto IS NOT NULL",
     "unique_constraint_check": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{k}' AS key, count(*) AS violating FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING count(*) > 1)"

@@ -178,3 +178,16 @@ def test_stream(spark, tmp_path):
     ingest.start_ingest(ingest.document_stream(spark, str(src)), out, ck).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted((r.name, r.idx) for r in rows) == [("a.txt", 0), ("a.txt", 1), ("b.txt", 0)]
+
+
+def test_arrivals_by_window(spark, tmp_path):
+    from lexweave.streaming import ingest
+
+    src = str(tmp_path / "in")
+    rows = [("2024-01-01 00:00:00", "uno"), ("2024-01-02 00:00:00", "due"), ("2024-03-01 00:00:00", "tre"), (None, "x")]
+    df = spark.createDataFrame(rows, "created_at string, text string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    df.write.parquet(src)
+    q = ingest.arrivals_by_window(spark.readStream.schema(df.schema).parquet(src)).writeStream.outputMode("complete").format("memory").queryName("arrivals").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.chunks, r.chars) for r in spark.table("arrivals").collect()) == [(1, 3), (2, 6)]
