@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def _on_python_path() -> bool:
+    return str(ROOT) in (os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless the Python path they inherit has it. Once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexweave_shipped", False) or _on_python_path():
+        return
+    # an upload of the driver; executors fetch it from there
+    base = Path(tempfile.mkdtemp(prefix="lexweave-package-")) / "lexweave_package"
+    sc.addPyFile(shutil.make_archive(str(base), "zip", ROOT, "lexweave"))
+    sc._lexweave_shipped = True
+
+
 def local_session(app: str = "lexweave", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
+    if not _on_python_path():
+        os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     b = (
         SparkSession.builder.master(f"local[{n}]")
