@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.session import table
-from lexweave.llm import canonical, names, neardup, neighbours, pack, pii, sentences, spam, split, tokenize
+from lexweave.llm import canonical, names, neardup, neighbours, pack, pii, sentences, spam, split, sql, tokenize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
