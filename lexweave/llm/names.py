@@ -78,7 +78,7 @@ def squeezed(s: str) -> str:
 
 
 _NAMES = {squeezed(g): squeezed(g) for g in GIVEN} | {squeezed(d): squeezed(d) for d in DOUBLE} | {plain(p): squeezed(g.replace("_", " ")) for p, g in PET.items()}
-_LONG = sorted({squeezed(g) for g in GIVEN})
+_LONG = sorted({(squeezed(g), plain(g)) for g in GIVEN})
 _WORDS = {plain(w): b for b in BUSINESS for w in b.split()}
 
 
@@ -103,9 +103,9 @@ def given(token: str) -> str | None:
         return _NAMES[p]
     if s in _NAMES:
         return _NAMES[s]
-    if len(s) >= 4:
-        for g in _LONG:
-            if abs(len(g) - len(s)) <= 1 and (len(g) > 4) and one_slip(s, g):
+    if len(p) >= 4:
+        for g, whole in _LONG:
+            if len(g) > 4 and (one_slip(s, g) or one_slip(p, whole)):
                 return g
     return None
 
@@ -289,11 +289,12 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = checkpointed(near.unionByName(forms.select("core").distinct().select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d"))))
     query = """
     WITH ident AS (SELECT kind, core, full, count(*) AS n, collect_set(nullif(form, '')) AS forms FROM {forms} WHERE full <> '' GROUP BY kind, core, full),
-    -- each identity goes to the most frequent spelling of its core with the same given name or business
-    root AS (
+    -- each identity goes to the most frequent spelling of its core with the same given name or business, and on to where that one goes
+    step AS (
       SELECT i.kind, i.core, i.full, min_by(j.core, (-j.n, j.core)) AS root
       FROM ident i JOIN {near} m ON i.core = m.a JOIN ident j ON j.core = m.b AND j.kind = i.kind AND j.full = i.full
       GROUP BY i.kind, i.core, i.full),
+    root AS (SELECT a.kind, a.core, a.full, b.root FROM step a JOIN step b ON b.kind = a.kind AND b.full = a.full AND b.core = a.root),
     part AS (SELECT text, kind, core, short, form FROM {forms} WHERE full = ''),
     fits AS (
       SELECT p.text, 2 * m.d + CASE WHEN p.form = '' OR array_contains(j.forms, p.form) THEN 0 ELSE 1 END AS d, r.root, r.full
