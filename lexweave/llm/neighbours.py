@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import checkpointed
+from lexweave.session import checkpointed, spread
 
 DEGREE, BEAM, STEPS = 32, 32, 12
 SEEN = 500_000
@@ -263,7 +263,7 @@ def class_neighbours(
         return pa.table({"cls": c[0].astype(np.int64), "near": c[1].astype(np.int64), "sim": c[2].astype(np.float64)})
 
     members = src.mapInArrow(who, f"id {kind}, cls long, asks boolean")
-    posted = src.mapInArrow(post, "list int, cls long, role int, vec binary")
+    posted = spread(src).mapInArrow(post, "list int, cls long, role int, vec binary")
     edges = posted.groupBy("list").applyInArrow(compare, "cls long, near long, sim double")
     edges = edges.groupBy("cls", "near").agg(F.max("sim").alias("sim"))
     best = edges.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "near"))).alias("l"))  # at most k x probes entries

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.session import spread
+
 KINDS = ("EMAIL", "ID", "ADDRESS", "PHONE", "NAME")
 PLACEHOLDER = {"EMAIL": "[EMAIL]", "PHONE": "[TELEFONO]", "ID": "[DOCUMENTO]", "ADDRESS": "[INDIRIZZO]", "NAME": "[NOME]"}
 
@@ -328,7 +330,7 @@ def personal_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, start_pos int, end_pos int, kind string").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {kind}, start_pos int, end_pos int, kind string").withColumnRenamed("id", id_col)
 
 
 def redacted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import checkpointed
+from lexweave.session import checkpointed, spread
 
 WINDOW, LEAST = 50, 12
 FEATURES = ("links", "repeats", "entropy", "function_words", "figures")
@@ -123,7 +123,7 @@ def described(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
             )
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, declared string, lang string, {', '.join(f'{f} double' for f in FEATURES)}")
+    return spread(src).mapInArrow(run, f"id {kind}, declared string, lang string, {', '.join(f'{f} double' for f in FEATURES)}")
 
 
 def spam_scores(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:

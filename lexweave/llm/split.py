@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.session import spread
+
 from lexweave.llm.sentences import _HEAD, spans
 
 _HEADING_LINE = re.compile(r"(?m)^[ \t]*(?:#{1,6}[ \t]+\S.*|" + _HEAD.pattern + r"[^\n]{0,80}|[^a-zß-ÿ\n.;:,]{4,60})[ \t]*$")
@@ -145,4 +147,4 @@ def split_pieces(df: DataFrame, id_col: str, text_col: str, limit: int = 1200, o
 
     ints = [T.StructField(c, T.IntegerType()) for c in ("piece", "pieces", "start_pos", "new_pos", "end_pos")]
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *ints, T.StructField("piece_text", T.StringType())])
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, schema).withColumnRenamed("id", id_col)
