@@ -30,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.session import checkpointed
+from lexweave.session import checkpointed, spread
 
 SEGMENTS, WIDTH, SKETCH = 12, 5, 54
 #: Sketch bits that must agree: at a similarity of 0.6, 43 of 54 are expected, with a deviation of 2.9.
 AGREE = 32
 #: Different classes a key may pair directly; beyond, the exact join takes over.
 RUN = 2000
+#: Bits that tell most classes without a candidate from the rest, before their sets are exchanged. A full bitmap
+#: only stops saving work.
+BITS = 1 << 23
 #: Classes a task remembers, to index each once.
 SEEN = 1_000_000
 
@@ -92,12 +95,24 @@ def class_of(ws: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(ws)) - 2**63
 
 
-def _class_sets(batch: pa.RecordBatch, column: int, k: int, least: int, seen: set[int] | None) -> Iterator[tuple[int, np.ndarray]]:
+def _bitmap(classes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the bits of the classes are set; at most BITS / 64 rows reach the driver."""
+    bit = F.pmod("cls", F.lit(BITS))
+    rows = classes.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(cls, {BITS}) % 64 AS INT))")).alias("v"))
+    out = np.zeros(BITS // 64, np.int64)
+    got = rows.toArrow()
+    out[got["w"].to_numpy()] = got["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _class_sets(batch: pa.RecordBatch, column: int, k: int, least: int, seen: set[int] | None, bits: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     for t in batch.column(column).to_pylist():
         ws = words(t)
         if len(ws) < max(least, k):
             continue
         c = class_of(ws)
+        if bits is not None and not int(bits[c % BITS // 64]) >> (c % 64) & 1:
+            continue
         if seen is not None:
             if c in seen:
                 continue
@@ -236,22 +251,25 @@ def links(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: floa
         if (big := n[inv] > RUN).any():
             yield out([np.unique(c_[big])], [None])
 
-    keyed = src.mapInArrow(index, "key long, cls long, sketch long").repartition("key").sortWithinPartitions("key", "cls")
+    keyed = spread(src).mapInArrow(index, "key long, cls long, sketch long").repartition("key").sortWithinPartitions("key", "cls")
     met = checkpointed(keyed.mapInArrow(meet, "a long, b long").distinct())
     pairs = met.where("b IS NOT NULL")
     wanted = met.select(F.explode(F.array("a", "b")).alias("cls")).where("cls IS NOT NULL").distinct()
 
+    needed = df.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # BITS / 8 bytes, whatever the data
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        bits = needed.value
         for batch in batches:
-            got = list(_class_sets(batch, 0, k, least_words, seen))
+            got = list(_class_sets(batch, 0, k, least_words, seen, bits))
             cls = pa.array(np.array([c for c, _ in got], np.int64))
             off = np.zeros(len(got) + 1, np.int32)
             np.cumsum([len(s) for _, s in got], out=off[1:])
             flat = np.concatenate([s for _, s in got]) if got else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([cls, pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))], ["cls", "shingles"])
 
-    sets = src.mapInArrow(sets_of, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    sets = spread(src).mapInArrow(sets_of, T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     sets = sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     if not met.where("b IS NULL").isEmpty():
         sets = checkpointed(sets)
@@ -293,7 +311,7 @@ def members(df: DataFrame, id_col: str, text_col: str, k: int = 3, least_words:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(cls, pa.int64())], ["id", "cls"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, cls long").distinct().withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {kind}, cls long").distinct().withColumnRenamed("id", id_col)
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: float = 0.6, least_words: int = 10) -> DataFrame:
