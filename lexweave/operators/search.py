@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import vectors as vec
 from lexweave.operators import fulltext, graph
 from lexweave.schema import EMPTY_RELATED
+from lexweave.session import checkpointed
 
 CANDIDATES, LIMIT = 400, 5
 
@@ -27,7 +28,11 @@ def vector_top(chunks: DataFrame, query: list[float], k: int = CANDIDATES, id_co
 
 
 def _shaped(g: Graph, hits: DataFrame, only_category: str | None = None) -> DataFrame:
-    """Adds the context to hits (chunk_id, name, idx, text, score). Each side is gathered by itself, for the hits only."""
+    """Adds the context to hits (chunk_id, name, idx, text, score). Each side is gathered by itself, for the hits only.
+
+    The hits, at most as many as the limit, are written out first: every side reads them, and the search is done once.
+    """
+    hits = checkpointed(hits)
     entities = g.entities if only_category is None else g.entities.where(F.lower("label") == only_category.lower())
     keys = hits.select("chunk_id")
     ents = graph.entities_of(g.has_entity.join(F.broadcast(keys), "chunk_id", "left_semi"), entities)
