@@ -65,8 +65,11 @@ def scored_nodes(nodes: DataFrame, query: list[float]) -> DataFrame:
     return s.where("score IS NOT NULL")
 
 
-def best_children(scored: DataFrame) -> DataFrame:
-    """The best content child of each node; ties by id."""
+def best_children(scored: DataFrame, faithful: bool = False) -> DataFrame:
+    """The best content child of each node; ties by id. ``faithful``: only a child that is the best content of all."""
+    if faithful:
+        top = scored.where("label = 'contenuto'").orderBy(F.desc("score"), "node_id").limit(1).select("node_id")
+        scored = scored.join(F.broadcast(top), "node_id", "left_semi")  # one row
     w = Window.partitionBy("parent_id").orderBy(F.desc("score"), "node_id")
     return scored.where("label = 'contenuto' AND parent_id IS NOT NULL").withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 

@@ -36,8 +36,12 @@ def _shaped(g: Graph, hits: DataFrame, only_category: str | None = None) -> Data
     entities = g.entities if only_category is None else g.entities.where(F.lower("label") == only_category.lower())
     keys = hits.select("chunk_id")
     ents = graph.entities_of(g.has_entity.join(F.broadcast(keys), "chunk_id", "left_semi"), entities)
-    related = g.related.where(F.col("text").isNotNull()).withColumnRenamed("src_id", "chunk_id").join(F.broadcast(keys), "chunk_id", "left_semi")
-    related = related.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("dst_id", "text"))).alias("r"))
+    related = g.related.withColumnRenamed("src_id", "chunk_id").join(F.broadcast(keys), "chunk_id", "left_semi")
+    if g.nodes is not None:
+        # contents only, each once, with what they say
+        target = g.nodes.where("label = 'contenuto'").select(F.col("node_id").alias("dst_id"), F.coalesce("contenuto", F.lit("")).alias("said"))
+        related = related.join(target, "dst_id").select("chunk_id", "dst_id", F.col("said").alias("text"))
+    related = related.where("text IS NOT NULL").groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("dst_id", "text"))).alias("r"))
     near = graph.neighbours_of(hits, g.chunks.select("name", "idx", "text"))
     none = F.array().cast("array<struct<text:string,label:string>>")
     return (

@@ -205,6 +205,26 @@ def text_search_with_context(spark, d):
     return h.select("chunk_id", "source", r6("similarity").alias("similarity"), F.array_join("prev_chunks", "|").alias("prev_chunks"), F.array_join("next_chunks", "|").alias("next_chunks"), F.size("entities").alias("n_entities"))
 
 
+@query
+def related_context(spark, d):
+    """A text search whose hits are related to articles: cited numbers, folded into 1 to 40, stand for the articles of that number."""
+    nodes = table(spark, d, "kb_node")
+    number = (F.regexp_extract("value", "^[0-9]+", 0).cast("int") % 40 + 1).cast("string")
+    cited = relations.mentions(table(spark, d, "chunk"), "chunk_id", "text").where("label = 'ART'").select("chunk_id", number.alias("number"))
+    target = nodes.where("label = 'contenuto'").select(law.article_number(F.col("titolo")).alias("number"), "node_id").where("number IS NOT NULL").groupBy("number").agg(F.min("node_id").alias("node_id"))
+    g = knowledge(spark, d)
+    g.related = relations.related_edges(cited.join(target, "number"), "chunk_id", "node_id")
+    hits = search.by_text(g, "codice articolo navigazione", limit=20)
+    return hits.select("chunk_id", F.size("related").alias("n_related"), F.array_join(F.transform("related", lambda r: r["text"]), "|").alias("related"))
+
+
+@query
+def bfs_descend_faithful(spark, d):
+    nodes = table(spark, d, "kb_node")
+    scored = law.scored_nodes(nodes, query_vector(spark, d))
+    return law.best_children(scored, faithful=True).select("parent_id", "node_id", r6("score").alias("score"))
+
+
 @query
 def hierarchy_descendants(spark, d):
     return graph.descendants(table(spark, d, "kb_node"))

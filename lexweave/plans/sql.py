@@ -139,6 +139,12 @@ ORACLE: dict[str, str] = {
       en AS (SELECT he.chunk_id, count(DISTINCT {{'t': e.text, 'l': e.label}}) AS c FROM has_entity he JOIN entity e USING (entity_id) GROUP BY he.chunk_id)
       SELECT h.chunk_id, h.name AS source, round(h.score, 6) AS similarity, coalesce(p.prev, '') AS prev_chunks, coalesce(x.next, '') AS next_chunks, coalesce(en.c, 0)::INT AS n_entities
       FROM h {_CONTEXT} LEFT JOIN en ON en.chunk_id = h.chunk_id""",
+    "related_context": f"""WITH {_bm25('chunk', 'chunk_id', 'text', ['codice', 'articolo', 'navigazione'])}, h AS (SELECT chunk_id FROM scored ORDER BY score DESC, chunk_id LIMIT 20),
+      cited AS (SELECT DISTINCT chunk_id, (TRY_CAST(regexp_extract(value, '^[0-9]+') AS INT) % 40 + 1)::VARCHAR AS number FROM {_mentions('chunk', 'chunk_id', 'text')} WHERE label = 'ART'),
+      target AS (SELECT number, min(node_id) AS node_id FROM (SELECT {_NUMBER} AS number, node_id FROM kb_node WHERE label = 'contenuto') WHERE number IS NOT NULL GROUP BY number),
+      rel AS (SELECT DISTINCT c.chunk_id, t.node_id, coalesce(n.contenuto, '') AS said FROM cited c JOIN target t USING (number) JOIN kb_node n ON n.node_id = t.node_id)
+      SELECT h.chunk_id, count(r.node_id)::INT AS n_related, coalesce(string_agg(r.said, '|' ORDER BY r.node_id), '') AS related FROM h LEFT JOIN rel r USING (chunk_id) GROUP BY h.chunk_id""",
+    "bfs_descend_faithful": f"WITH {_SCORED} SELECT parent_id, node_id, round(score, 6) AS score FROM (SELECT * FROM scored WHERE label = 'contenuto' ORDER BY score DESC, node_id LIMIT 1) WHERE parent_id IS NOT NULL",
     "hierarchy_descendants": """WITH RECURSIVE d AS (SELECT parent_id AS ancestor_id, node_id, 1 AS depth FROM kb_node WHERE parent_id IS NOT NULL
       UNION ALL SELECT d.ancestor_id, n.node_id, d.depth + 1 FROM d JOIN kb_node n ON n.parent_id = d.node_id) SELECT * FROM d""",
     "leaf_nodes": "SELECT node_id, label FROM kb_node n WHERE NOT EXISTS (SELECT 1 FROM kb_node c WHERE c.parent_id = n.node_id)",

@@ -48,6 +48,19 @@ def test_descent(spark, law_tables):
     best = law.best_children(n.join(scores, "node_id").withColumn("source", F.lit("s")))
     assert [r.titolo for r in law.descend(law.start_nodes(n, docs), best).collect()] == ["Articolo 2"]
     assert law.descend(law.start_nodes(n, docs, "Nessuna"), best).count() == 0
+    scored = n.join(scores, "node_id").withColumn("source", F.lit("s"))
+    assert law.descend(law.start_nodes(n, docs), law.best_children(scored, faithful=True)).count() == 0
+    lower = scored.withColumn("score", F.when(F.col("titolo") == "TITOLO I", 0.5).otherwise(F.col("score")))
+    assert [r.titolo for r in law.descend(law.start_nodes(n, docs), law.best_children(lower, faithful=True)).collect()] == ["Articolo 2"]
+
+
+def test_related_are_contents(spark, small):
+    _, g = small
+    nodes = spark.createDataFrame([("x", "contenuto", "detto"), ("y", "parti", "no"), ("z", "contenuto", None)], "node_id string, label string, contenuto string")
+    first = g.chunks.where("name = 'd.pdf' AND idx = 0").first().chunk_id
+    related = spark.createDataFrame([(first, t, None, "extensional") for t in "xyzx"], "src_id string, dst_id string, text string, kind string")
+    hits = search.by_text(search.Graph(g.chunks, g.entities, g.has_entity, related, nodes), "giudice").collect()
+    assert [[r.text for r in h.related] for h in hits] == [["detto", ""]]
 
 
 def test_pairing(spark):
