@@ -43,6 +43,7 @@ def pigeonhole_join(values: DataFrame, refs: DataFrame) -> DataFrame:
     # segment i of a string of length n, cut into k+1: the first ones are one character shorter where it does not divide
     pos = "i * (n DIV (k + 1)) + greatest(0, i - (k + 1 - n % (k + 1)))"
     size = "n DIV (k + 1) + CASE WHEN i >= k + 1 - n % (k + 1) THEN 1 ELSE 0 END"
+    # the planner does not foresee how many substrings a value gives, so it is told not to broadcast them
     query = f"""
     WITH ref AS (
       SELECT rid, r, n, i, substring(r, {pos} + 1, {size}) AS seg FROM (
@@ -55,7 +56,7 @@ def pigeonhole_join(values: DataFrame, refs: DataFrame) -> DataFrame:
               SELECT v, explode(sequence(greatest(1, length(v) - 4), length(v) + 4)) AS n FROM {{values}} WHERE length(v) BETWEEN 1 AND {longest} + 4))
           WHERE abs(length(v) - n) <= k))
     )
-    SELECT v, rid, r, levenshtein(v, r) AS d FROM (SELECT DISTINCT val.v, ref.rid, ref.r FROM val JOIN ref ON val.n = ref.n AND val.i = ref.i AND val.seg = ref.seg)
+    SELECT v, rid, r, levenshtein(v, r) AS d FROM (SELECT /*+ MERGE(val) */ DISTINCT val.v, ref.rid, ref.r FROM val JOIN ref ON val.n = ref.n AND val.i = ref.i AND val.seg = ref.seg)
     WHERE levenshtein(v, r) <= {EDITS.format(n="length(r)")}
     """
     return spark.sql(query, refs=refs, values=values)
@@ -134,10 +135,10 @@ def map_laws(docs: DataFrame, refs: DataFrame, id_col: str = "kb_id", name_col:
     val_acts = _acts(spark.sql("SELECT name, x FROM {v} WHERE regexp_replace(x, ' - .*$', '') RLIKE '[0-9]'", v=values), "x")
     texts = spark.sql("SELECT DISTINCT kind_text AS v FROM {a} UNION SELECT DISTINCT kind_text FROM {b}", a=ref_acts, b=val_acts)
     met = pigeonhole_join(texts, kinds)
-    kind = checkpointed(spark.sql("SELECT DISTINCT m.v, m.rid AS kind FROM {m} m JOIN (SELECT v, min(d) AS d FROM {m} GROUP BY v) b ON m.v = b.v AND m.d = b.d WHERE m.d = 0 OR 2 * m.d < length(m.v)", m=met))
+    kind = checkpointed(spark.sql("SELECT v, explode(array_distinct(transform(filter(l, x -> x.d = l[0].d), x -> x.rid))) AS kind FROM (SELECT v, array_sort(collect_set(struct(d, rid))) AS l FROM {m} GROUP BY v) WHERE l[0].d = 0 OR 2 * l[0].d < length(v)", m=met))
     acts = spark.sql(
         """
-        SELECT DISTINCT v.name, r.rid, 0 AS d FROM {v} v JOIN {k} vk ON v.kind_text = vk.v
+        SELECT /*+ MERGE(vk, r) */ DISTINCT v.name, r.rid, 0 AS d FROM {v} v JOIN {k} vk ON v.kind_text = vk.v
         JOIN ({r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r ON vk.kind = r.kind AND v.number = r.number AND v.year = r.year
         WHERE (v.day IS NULL OR (v.day = r.day AND v.month = r.month))
         """.replace("({r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r", "(SELECT r0.*, rk.kind FROM {r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r"),
@@ -167,7 +168,7 @@ def map_laws(docs: DataFrame, refs: DataFrame, id_col: str = "kb_id", name_col:
     written = spark.sql(f"SELECT name, regexp_replace({_letters('x')}, '(^| )t u( |$)', '$1tu$2') AS v, x FROM {{v}} WHERE NOT x RLIKE '[0-9]'", v=values)
     written = checkpointed(written)
     near = pigeonhole_join(spark.sql("SELECT DISTINCT v FROM {w} WHERE v <> ''", w=written), forms)
-    named = spark.sql("SELECT DISTINCT w.name, n.rid, n.d FROM {w} w JOIN {n} n ON w.v = n.v", w=written, n=near)
+    named = spark.sql("SELECT /*+ MERGE(n) */ DISTINCT w.name, n.rid, n.d FROM {w} w JOIN {n} n ON w.v = n.v", w=written, n=near)
 
     # Words cut short: equality on the first letters of all words, then every word must begin the canonical one.
     tail = "regexp_replace(regexp_replace(v, '^(codice|cod|c|testo unico|testo un|tu)( delle disposizioni| disp)?( in materia| in mat)?( di| della| del| su)? ', ''), ' (codice|cod|c|testo unico|tu)$', '')"
@@ -191,14 +192,16 @@ def map_laws(docs: DataFrame, refs: DataFrame, id_col: str = "kb_id", name_col:
     )
 
     found = spark.sql("SELECT * FROM {a} UNION ALL SELECT * FROM {b} UNION ALL SELECT * FROM {c}", a=acts, b=named, c=short)
+    # the nearest entries of a name are few; it is mapped if they are one
     chosen = spark.sql(
         """
-        SELECT f.name, min(f.rid) AS rid FROM {f} f JOIN (SELECT name, min(d) AS d FROM {f} GROUP BY name) b ON f.name = b.name AND f.d = b.d
-        GROUP BY f.name HAVING count(DISTINCT f.rid) = 1
+        SELECT name, best[0] AS rid FROM (
+          SELECT name, array_distinct(transform(filter(l, x -> x.d = l[0].d), x -> x.rid)) AS best FROM (SELECT name, array_sort(collect_set(struct(d, rid))) AS l FROM {f} GROUP BY name))
+        WHERE size(best) = 1
         """,
         f=found,
     )
     chosen = checkpointed(chosen)
-    mapped = spark.sql("SELECT n.id, c.rid FROM {n} n JOIN {c} c ON n.name = c.name", n=names, c=chosen)
-    unmatched = spark.sql("SELECT n.id, CAST(-1 AS BIGINT) AS rid FROM {n} n LEFT ANTI JOIN {c} c ON n.name = c.name", n=names, c=chosen)
+    mapped = spark.sql("SELECT /*+ MERGE(c) */ n.id, c.rid FROM {n} n JOIN {c} c ON n.name = c.name", n=names, c=chosen)
+    unmatched = spark.sql("SELECT /*+ MERGE(c) */ n.id, CAST(-1 AS BIGINT) AS rid FROM {n} n LEFT ANTI JOIN {c} c ON n.name = c.name", n=names, c=chosen)
     return spark.sql(f"SELECT id AS {id_col}, rid AS ref_id FROM {{a}} UNION ALL SELECT id, rid FROM {{b}}", a=mapped, b=unmatched)
