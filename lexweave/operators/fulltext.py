@@ -11,8 +11,8 @@ from lexweave.functions.text import tokens
 from lexweave.session import spread
 
 K1, B = 1.2, 0.75
-#: A token, and what keeps a term from being part of a longer one.
-WORD, NOT_AFTER, NOT_BEFORE = r"[\p{L}\p{N}]+", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: A token, and what keeps a term from being the beginning of a longer one.
+WORD, NOT_BEFORE = r"[\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
 
 
 def query_terms(query: str) -> list[str]:
@@ -37,11 +37,15 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, phrase: bool
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     t = spread(docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("x")).where("x IS NOT NULL"))
-    # counted by patterns on the text: no array of tokens is built
-    count = lambda pattern: F.regexp_count("x", F.lit(pattern)).cast("double")
-    counted = t.select("id", count(WORD).alias("len"), *(count(f"{NOT_AFTER}{x}{NOT_BEFORE}").alias(f"tf{i}") for i, x in enumerate(terms)), *([count(_phrase(terms)).alias("ptf")] if phrase else []))
+    # counted by patterns on the text: no array of tokens is built, and a pattern is tried only where its first term occurs
+    count = lambda pattern, first: F.when(F.contains("x", F.lit(first)), F.regexp_count("x", F.lit(pattern))).otherwise(0).cast("double")
+    counted = t.select(
+        "id", "x", F.regexp_count("x", F.lit(WORD)).cast("double").alias("len"), *(count(_whole(v), v).alias(f"tf{i}") for i, v in enumerate(terms)),
+        *([count(_phrase(terms), terms[0]).alias("ptf")] if phrase else []),
+    )
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
-    both = counted.crossJoin(F.broadcast(stats))  # a single row
+    some = reduce(Column.__or__, (F.contains("x", F.lit(v)) for v in terms))  # the second pass reads the rest no further
+    both = counted.where(some).crossJoin(F.broadcast(stats))  # a single row
     dfs = [F.col(f"df{i}") for i in range(len(terms))]
     if phrase:
         score, has = _bm25([F.col("ptf")] * len(terms), dfs, F.col("n"), F.col("len"), F.col("average")), F.col("ptf") > 0
@@ -51,10 +55,15 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, phrase: bool
     return both.where(has).select(F.col("id").alias(id_col), score.alias("score"))
 
 
+def _whole(term: str, then: str = "") -> str:
+    """Pattern of a term that is a token by itself; what stands before it is looked at last, only where it occurs."""
+    return rf"{term}{NOT_BEFORE}{then}(?<![\p{{L}}\p{{N}}]{term})"
+
+
 def _phrase(terms: list[str]) -> str:
     """Pattern of the terms in a row; only the first is consumed, so that phrases may overlap."""
     rest = "".join(rf"[^\p{{L}}\p{{N}}]+{t}" for t in terms[1:])
-    return rf"{NOT_AFTER}{terms[0]}(?={rest}{NOT_BEFORE})"
+    return _whole(terms[0], rf"(?={rest}{NOT_BEFORE})" if rest else "")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
