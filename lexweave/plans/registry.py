@@ -457,9 +457,13 @@ def html_unescape_udf(spark, d):
 
 @query
 def intensional_relations(spark, d):
-    chunk = table(spark, d, "chunk")
-    comments = chunk.select(F.col("name").alias("file"), F.col("idx").alias("line_no"), (F.col("idx") % 40 + 1).cast("string").alias("article_number"), "text")
-    return relations.intensional(comments, table(spark, d, "kb_node"), table(spark, d, "kb_document"), LAW)
+    """Comments made from the chunks, on and about the articles of the law that has most nodes."""
+    nodes = table(spark, d, "kb_node")
+    first = nodes.groupBy("kb_id").count().orderBy(F.desc("count"), "kb_id").limit(1).select(F.col("kb_id").alias("first"))
+    docs = nodes.select("kb_id").distinct().crossJoin(F.broadcast(first)).select("kb_id", F.when(F.col("kb_id") == F.col("first"), LAW).otherwise("altra").alias("nome_legge"))
+    number = lambda k: (F.col("idx") * k % 40 + 1).cast("string")
+    comments = table(spark, d, "chunk").select(F.col("name").alias("file"), F.col("idx").alias("line_no"), number(1).alias("article_number"), F.concat(F.lit("cfr. art. "), number(7), F.lit(" del "), F.lower(F.lit(LAW)), F.lit(": "), F.col("chunk_id")).alias("text"))
+    return relations.intensional(comments, nodes, docs, LAW)
 
 
 def queries() -> dict[str, Query]:

@@ -173,6 +173,11 @@ ORACLE: dict[str, str] = {
     "citation_keys": f"WITH {_PAIRS} SELECT node_id, pos::INT AS pos, {_law_key('doc')} AS doc_key, article FROM pairs",
     "citation_resolution": f"WITH {_RESOLVED} SELECT doc_key, number, kb_id, node_id FROM res",
     "related_edges_dedup": f"WITH {_RESOLVED} SELECT DISTINCT k.src AS src_id, r.node_id AS dst_id, 'extensional' AS kind FROM keyed k JOIN res r ON r.doc_key = k.doc_key AND r.number = k.number WHERE r.node_id IS NOT NULL",
+    "intensional_relations": f"""WITH law AS (SELECT kb_id FROM kb_node GROUP BY kb_id ORDER BY count(*) DESC, kb_id LIMIT 1), n AS (SELECT node_id, {_NUMBER} AS number, NOT EXISTS (SELECT 1 FROM kb_node c WHERE c.parent_id = k.node_id) AS leaf
+        FROM kb_node k WHERE label = 'contenuto' AND kb_id = (SELECT kb_id FROM law)),
+      src AS (SELECT number, min(node_id) AS src FROM n WHERE leaf GROUP BY number), dst AS (SELECT number, min(node_id) AS dst FROM n WHERE number IS NOT NULL GROUP BY number),
+      c AS (SELECT name, idx, (idx % 40 + 1)::VARCHAR AS a, (idx * 7 % 40 + 1)::VARCHAR AS b, 'cfr. art. ' || (idx * 7 % 40 + 1)::VARCHAR || ' del codice della navigazione lacustre: ' || chunk_id AS text FROM chunk)
+      SELECT src AS src_id, dst AS dst_id, arg_max(text, {{'f': name, 'l': idx}}) AS text, 'intensional' AS kind FROM c JOIN src ON src.number = c.a JOIN dst ON dst.number = c.b GROUP BY src, dst""",
     "related_last_write": "SELECT user_id::VARCHAR AS src_id, (user_id % 7)::VARCHAR AS dst_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS text FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2",
     "related_undirected_count": "SELECT sum(CASE WHEN s = t THEN 1 ELSE 2 END)::BIGINT AS undirected, count(*) AS directed FROM (SELECT DISTINCT user_id AS s, user_id % 7 AS t FROM events)",
     "section_classify": f"SELECT node_id, line_no::INT AS line_no, {_SECTION} AS kind FROM {_LINES_HEADED}",
