@@ -51,13 +51,19 @@ def relation_counts(edges: DataFrame, src: str = "src_id", dst: str = "dst_id")
     return edges.agg(F.sum(F.when(F.col(src) == F.col(dst), 1).otherwise(2)).cast("bigint").alias("undirected"), F.count(F.lit(1)).alias("directed"))
 
 
-def cluster(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, counts) of all citations in the contents: mentions, pairs, one resolution of the distinct pairs, edges."""
+def resolution(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, resolved) of all citations in the contents: (node_id, doc_key, number) and, once for each (doc_key, number), its law and article or nulls."""
     from lexweave.operators import law
 
     body = nodes.where("label = 'contenuto' AND trim(contenuto) <> ''")
     pairs = pair(mentions(body, "node_id", "contenuto"), "node_id", ["pos"]).select("node_id", law_key(F.col("doc")).alias("doc_key"), F.col("article").alias("number")).where("doc_key IS NOT NULL")
-    found = law.resolve(pairs, documents.withColumn("doc_key", law_key(F.col("nome_legge"))), nodes).where("node_id IS NOT NULL").withColumnRenamed("node_id", "target")
+    return pairs, law.resolve(pairs, documents.withColumn("doc_key", law_key(F.col("nome_legge"))), nodes)
+
+
+def cluster(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, counts) of all citations in the contents: mentions, pairs, one resolution of the distinct pairs, edges."""
+    pairs, resolved = resolution(nodes, documents)
+    found = resolved.where("node_id IS NOT NULL").withColumnRenamed("node_id", "target")
     edges = related_edges(pairs.join(found, ["doc_key", "number"]), "node_id", "target")
     return edges, relation_counts(edges)
 

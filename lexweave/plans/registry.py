@@ -353,6 +353,17 @@ def related_edges_dedup(spark, d):
     return relations.related_edges(pairs.join(found, ["doc_key", "number"]), "node_id", "target").select("src_id", "dst_id", "kind")
 
 
+@query
+def citation_resolution_whole(spark, d):
+    """Every cited (law, article) under its own key against the names of kb_document, unresolved ones included."""
+    return relations.resolution(table(spark, d, "kb_node"), table(spark, d, "kb_document"))[1]
+
+
+@query
+def related_edges_whole(spark, d):
+    return relations.cluster(table(spark, d, "kb_node"), table(spark, d, "kb_document"))[0].select("src_id", "dst_id", "kind")
+
+
 @query
 def related_last_write(spark, d):
     e = table(spark, d, "events").withColumn("dst", (F.col("user_id") % 7).cast("string"))
