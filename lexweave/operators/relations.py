@@ -5,17 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What counts as a citation part in a text, articles before laws (fixed values).
-MENTION = r"(?:articolo|art\.)\s+[0-9]+(?:-bis)?|L\.\s+[0-9]+/[0-9]{4}|d\.lgs\.\s+n\.\s+[0-9]+\s+del\s+[0-9]{4}|codice della navigazione (?:fluviale|lacustre)"
-
-
-def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: What the SQL twin of the mentions reads: a part of the forms below (fixed values).
+PLAIN = r"(?:articolo|art\.)\s+[0-9]+(?:-bis)?|L\.\s+[0-9]+/[0-9]{4}|d\.lgs\.\s+n\.\s+[0-9]+\s+del\s+[0-9]{4}|codice della navigazione (?:fluviale|lacustre)"
+
+
+_SUFFIX = "bis|ter|quater|quinquies|sexies|septies|octies|novies|decies|undecies|duodecies|terdecies"
+_STOP = r"(?![\p{L}\p{N}])"
+_NUMBER = rf"[0-9]+(?:[-\s]?(?:{_SUFFIX}){_STOP})?"
+#: Paragraphs and letters between the articles of a list, and what joins these.
+_WITHIN = rf"\s*,?\s*(?:co\.|comma|commi|lett\.|lettera|lettere|n\.)\s*(?:{_NUMBER}|[a-z]\)?){_STOP}"
+_AND = r"(?:\s*[,;]\s*(?:(?:e|ed|o|od|nonché)\s+)?|\s+(?:e|ed|o|od|nonché)\s+)"
+_ARTICLES = rf"(?:artt\.?|articoli)\s*{_NUMBER}(?:(?:{_WITHIN})*{_AND}{_NUMBER})*|(?:articolo\s+|art\.\s*|art\s+){_NUMBER}"
+#: Written forms of the kinds of numbered acts, and of codes (fixed values).
+ACTS = {
+    "decreto legislativo": r"decreto\s+legislativo|d\.?\s?lgs\.?|d\.\s?l\.\s?gs\.?|d\.?\s?leg\.?", "decreto-legge": r"decreto[-\s]+legge|d\.\s?l\.|dl", "decreto ministeriale": r"decreto\s+ministeriale|decreto\s+min\.|d\.\s?m\.|dm",
+    "decreto del presidente della repubblica": r"decreto\s+del\s+presidente\s+della\s+repubblica|d\.\s?p\.\s?r\.?|dpr", "regio decreto": r"regio\s+decreto|r\.\s?d\.", "legge": r"legge|l\.",
+}
+CODES = {
+    "codice di procedura civile": r"c\.\s?p\.\s?c\.|cod\.\s?proc\.\s?civ\.|codice\s+di\s+procedura\s+civile", "codice di procedura penale": r"c\.\s?p\.\s?p\.|cod\.\s?proc\.\s?pen\.|codice\s+di\s+procedura\s+penale",
+    "codice civile": r"c\.\s?c\.|cod\.\s?civ\.|codice\s+civile", "codice penale": r"c\.\s?p\.|cod\.\s?pen\.|codice\s+penale",
+    "codice della navigazione fluviale": r"codice\s+della\s+navigazione\s+fluviale", "codice della navigazione lacustre": r"codice\s+della\s+navigazione\s+lacustre",
+}
+_DATE = r"[0-9]{1,2}°?\s+\p{L}+\.?\s+|[0-9]{1,2}[./-][0-9]{1,2}[./-]"
+#: (number, year) of an act after its kind, or (year, number).
+_DATED = [rf"(?:n\.?\s*)?([0-9]+)\s*[/-]\s*([0-9]{{4}})(?![0-9])", rf"n\.?\s*([0-9]+)\s+(?:del\s+)?(?:{_DATE})?([0-9]{{4}})(?![0-9])"]
+_LAST = rf"(?:del\s+)?(?:{_DATE})([0-9]{{4}})\s*,?\s*n\.?\s*([0-9]+)"
+_ACT = rf"(?:{'|'.join(ACTS.values())})\s*(?:{'|'.join([*_DATED, _LAST])})"
+#: What counts as a citation part in a text, letter case aside; a form inside a word or a longer abbreviation is none.
+MENTION = rf"(?i)(?<![\p{{L}}\p{{N}}.])(?:{_ARTICLES}|{_ACT}|(?:{'|'.join(CODES.values())}){_STOP})"
+
+
+def plain_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (``id_col``, pos, label, value) of the mentions of a text in order: ART numbers and DOC names."""
-    m = df.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(f"({MENTION})"), 1)).alias("pos", "m"))
+    m = df.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(f"({PLAIN})"), 1)).alias("pos", "m"))
     art = F.col("m").rlike(r"^(articolo|art\.)")
     return m.select(id_col, "pos", F.when(art, "ART").otherwise("DOC").alias("label"), F.when(art, F.regexp_extract("m", r"([0-9]+(?:-bis)?)$", 1)).otherwise(F.regexp_replace(F.lower("m"), r"\s+", " ")).alias("value"))
 
 
+def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (``id_col``, pos, label, value) of the mentions of a text in order: ART numbers, one for each of a list, and DOC names.
+
+    Of a range of articles the first number comes out.
+    """
+    number = lambda n: F.regexp_replace(F.lower(n), rf"[-\s]?({_SUFFIX})$", "-$1")
+    as_row = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+
+    def parts(m: Column) -> Column:
+        arts = F.regexp_extract_all(F.regexp_replace(m, f"(?i){_WITHIN}", ""), F.lit(f"(?i)({_NUMBER})"), 1)
+        return F.when(m.rlike("(?i)^art"), F.transform(arts, lambda n: as_row("ART", number(n)))).otherwise(F.array(as_row("DOC", F.regexp_replace(F.lower(m), r"\s+", " "))))
+
+    m = df.select(F.col(id_col), F.posexplode(F.flatten(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(MENTION), 0), parts))).alias("pos", "m"))
+    return m.select(id_col, "pos", "m.label", "m.value")
+
+
 def pair(entities: DataFrame, key: str, order: list[str | Column], label: str = "label", value: str = "value") -> DataFrame:
     """Each ART with the last DOC before it in its text, else the next one, else dropped: (key, doc, article)."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -26,16 +68,18 @@ def pair(entities: DataFrame, key: str, order: list[str | Column], label: str =
 
 
 def law_key(name: Column) -> Column:
-    """A key under which cited and entered names of laws meet; null where none can be told."""
+    """A key under which cited and entered names of laws meet, '<kind> <number>/<year>' or the code; null where none can be told."""
     low = F.regexp_replace(F.trim(F.lower(name)), r"\s+", " ")
-    short = F.regexp_extract(low, r"^l\. ([0-9]+/[0-9]{4})$", 1)
-    decree = F.concat_ws("/", *(F.nullif(F.regexp_extract(low, r"^d\.lgs\. n\. ([0-9]+) del ([0-9]{4})$", k), F.lit("")) for k in (1, 2)))
-    full = r"^(legge|decreto legislativo) [0-9]+ [a-z]+ ([0-9]{4}), n\. ([0-9]+)$"
-    kind, year, number = (F.regexp_extract(low, full, k) for k in (1, 2, 3))
-    return (
-        F.when(short != "", F.concat(F.lit("legge "), short)).when(decree != "", F.concat(F.lit("decreto legislativo "), decree))
-        .when(kind != "", F.concat(kind, F.lit(" "), number, F.lit("/"), year)).when(low.rlike(r"^codice della navigazione (fluviale|lacustre)$"), low)
-    )
+    # entered names may put the kind last or the year first
+    low = F.regexp_replace(F.regexp_replace(low, r"^([0-9]+/[0-9]{4}) \((.+)\)$", "$2 $1"), r"^([0-9]{4}), (.+?) n\. ?([0-9]+)$", "$2 $3/$1")
+    key = F.lit(None).cast("string")
+    for code, forms in CODES.items():
+        key = F.when(low.rlike(f"^(?:{forms})$"), code).otherwise(key)
+    for kind, forms in ACTS.items():
+        for form, (n, y) in ((_DATED[0], (1, 2)), (_DATED[1], (1, 2)), (_LAST, (2, 1))):
+            whole = rf"^(?:{forms})\s*{form}\.?$"
+            key = F.when(low.rlike(whole), F.concat(F.lit(f"{kind} "), F.regexp_extract(low, whole, n), F.lit("/"), F.regexp_extract(low, whole, y))).otherwise(key)
+    return key
 
 
 def related_edges(resolved: DataFrame, src: str, dst: str, text: str | None = None, order: list[str] | None = None, kind: str = "extensional") -> DataFrame:
@@ -51,12 +95,16 @@ def relation_counts(edges: DataFrame, src: str = "src_id", dst: str = "dst_id")
     return edges.agg(F.sum(F.when(F.col(src) == F.col(dst), 1).otherwise(2)).cast("bigint").alias("undirected"), F.count(F.lit(1)).alias("directed"))
 
 
+def cited(nodes: DataFrame) -> DataFrame:
+    """Rows (node_id, pos, doc, article) of the citations in the contents."""
+    return pair(mentions(nodes.where("label = 'contenuto' AND trim(contenuto) <> ''"), "node_id", "contenuto"), "node_id", ["pos"])
+
+
 def resolution(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, resolved) of all citations in the contents: (node_id, doc_key, number) and, once for each (doc_key, number), its law and article or nulls."""
     from lexweave.operators import law
 
-    body = nodes.where("label = 'contenuto' AND trim(contenuto) <> ''")
-    pairs = pair(mentions(body, "node_id", "contenuto"), "node_id", ["pos"]).select("node_id", law_key(F.col("doc")).alias("doc_key"), F.col("article").alias("number")).where("doc_key IS NOT NULL")
+    pairs = cited(nodes).select("node_id", law_key(F.col("doc")).alias("doc_key"), F.col("article").alias("number")).where("doc_key IS NOT NULL")
     return pairs, law.resolve(pairs, documents.withColumn("doc_key", law_key(F.col("nome_legge"))), nodes)
 
 

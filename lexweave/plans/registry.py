@@ -210,7 +210,7 @@ def related_context(spark, d):
     """A text search whose hits are related to articles: cited numbers, folded into 1 to 40, stand for the articles of that number."""
     nodes = table(spark, d, "kb_node")
     number = (F.regexp_extract("value", "^[0-9]+", 0).cast("int") % 40 + 1).cast("string")
-    cited = relations.mentions(table(spark, d, "chunk"), "chunk_id", "text").where("label = 'ART'").select("chunk_id", number.alias("number"))
+    cited = relations.plain_mentions(table(spark, d, "chunk"), "chunk_id", "text").where("label = 'ART'").select("chunk_id", number.alias("number"))
     target = nodes.where("label = 'contenuto'").select(law.article_number(F.col("titolo")).alias("number"), "node_id").where("number IS NOT NULL").groupBy("number").agg(F.min("node_id").alias("node_id"))
     g = knowledge(spark, d)
     g.related = relations.related_edges(cited.join(target, "number"), "chunk_id", "node_id")
@@ -313,12 +313,12 @@ def visited_antijoin(spark, d):
 
 def _pairs(spark, d):
     body = table(spark, d, "kb_node").where("label = 'contenuto' AND trim(contenuto) <> ''")
-    return relations.pair(relations.mentions(body, "node_id", "contenuto"), "node_id", ["pos"])
+    return relations.pair(relations.plain_mentions(body, "node_id", "contenuto"), "node_id", ["pos"])
 
 
 @query
 def citation_mentions(spark, d):
-    return relations.mentions(table(spark, d, "chunk"), "chunk_id", "text")
+    return relations.plain_mentions(table(spark, d, "chunk"), "chunk_id", "text")
 
 
 @query
@@ -353,6 +353,21 @@ def related_edges_dedup(spark, d):
     return relations.related_edges(pairs.join(found, ["doc_key", "number"]), "node_id", "target").select("src_id", "dst_id", "kind")
 
 
+@query
+def citation_mentions_whole(spark, d):
+    return relations.mentions(table(spark, d, "chunk"), "chunk_id", "text")
+
+
+@query
+def citation_pairing_whole(spark, d):
+    return relations.cited(table(spark, d, "kb_node"))
+
+
+@query
+def citation_keys_whole(spark, d):
+    return relations.cited(table(spark, d, "kb_node")).select("node_id", "pos", relations.law_key(F.col("doc")).alias("doc_key"), "article")
+
+
 @query
 def citation_resolution_whole(spark, d):
     """Every cited (law, article) under its own key against the names of kb_document, unresolved ones included."""

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.operators import relations
 from lexweave.plans import registry
 
 
@@ -31,3 +32,35 @@ def test_resolution_is_by_law(spark, tables):
     assert got == {("legge 5/2001", "45", 11, "b"), ("legge 7/2001", "5", 12, "c"), ("legge 9/2001", "5", None, None), ("legge 9/2001", "6-bis", None, None)}
     edges = registry.queries()["related_edges_whole"](spark, d).collect()
     assert sorted(map(tuple, edges)) == [("a", "b", "extensional"), ("b", "c", "extensional")]
+
+
+def test_mentions_of_all_forms(spark, tables):
+    texts = {
+        "a": ("Visti gli artt. 242 e 520\nC.P.C., e letta", "ART 242|ART 520|DOC c.p.c."),
+        "b": ("ART. 5 e Articolo 6-bis del D.LGS. N. 196 DEL 2003", "ART 5|ART 6-bis|DOC d.lgs. n. 196 del 2003"),
+        "c": ("Artt. 1, comma 2, 3-ter ed 8 ter, lett. b), cod. proc. civ.; d.P.R. 380/2001", "ART 1|ART 3-ter|ART 8-ter|DOC cod. proc. civ.|DOC d.p.r. 380/2001"),
+        "d": ("art. 7, co. 2, L. 9/2010, legge 3 marzo 2001, n. 5 e d.l. n. 18 del 17 marzo 2020", "ART 7|DOC l. 9/2010|DOC legge 3 marzo 2001, n. 5|DOC d.l. n. 18 del 17 marzo 2020"),
+        "e": ("Alfa S.r.l. 5/2001, part. 5, presente legge", ""),
+        "f": (None, ""),
+    }
+    d = tables(chunk=([(k, v[0]) for k, v in texts.items()], "chunk_id string, text string"))
+    rows = registry.queries()["citation_mentions_whole"](spark, d).orderBy("chunk_id", "pos").collect()
+    assert {k: "|".join(f"{r.label} {r.value}" for r in rows if r.chunk_id == k) for k in texts} == {k: v[1] for k, v in texts.items()}
+    assert [r.pos for r in rows if r.chunk_id == "a"] == [0, 1, 2]
+
+
+def test_pairs_and_keys_of_all_forms(spark, tables):
+    nodes = [("a", 1, None, "contenuto", "Art. 1", "Visti gli ARTT. 2 e 3 c.p.c."), ("b", 1, None, "contenuto", "Art. 2", "Art. 4 D.LGS. N. 5 DEL 2001"), ("c", 1, None, "parti", None, "art. 9 c.p.c.")]
+    d = tables(kb_node=(nodes, NODE))
+    pairs = registry.queries()["citation_pairing_whole"](spark, d).collect()
+    assert sorted((r.node_id, r.doc, r.article) for r in pairs) == [("a", "c.p.c.", "2"), ("a", "c.p.c.", "3"), ("b", "d.lgs. n. 5 del 2001", "4")]
+    keys = registry.queries()["citation_keys_whole"](spark, d).collect()
+    assert sorted((r.node_id, r.doc_key, r.article) for r in keys) == [("a", "codice di procedura civile", "2"), ("a", "codice di procedura civile", "3"), ("b", "decreto legislativo 5/2001", "4")]
+
+
+@pytest.mark.parametrize("name,key", [
+    ("L. 5/2001", "legge 5/2001"), ("5/2001 (legge)", "legge 5/2001"), ("2007, D.LGS. N. 678", "decreto legislativo 678/2007"), ("Dlgs 13/7/2018, n. 690", "decreto legislativo 690/2018"), (" DLGS n.183 10 nov. 2005.", "decreto legislativo 183/2005"),
+    ("Decreto-legge 10 maggio 2000, n. 322", "decreto-legge 322/2000"), ("legge n. 5 del 3.3.2001", "legge 5/2001"), ("880/2024 (decreto legge)", "decreto-legge 880/2024"), ("C.p.c.", "codice di procedura civile"), ("vari", None), ("", None), (None, None),
+])
+def test_law_key(spark, name, key):
+    assert spark.createDataFrame([(name,)], "n string").select(relations.law_key(F.col("n"))).first()[0] == key
