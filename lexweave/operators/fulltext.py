@@ -68,10 +68,12 @@ def _phrase(terms: list[str]) -> str:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (term, id, tf, len): the inverted table, to be written once partitioned or bucketed by term."""
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where("w IS NOT NULL")
-    # counted inside each document: no exchange by (term, id)
-    each = t.select("id", F.size("w").alias("len"), "w", F.explode(F.array_distinct("w")).alias("term"))
-    return each.select("term", "id", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"), "len")
+    t = docs.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("w")).where(F.size("w") > 0)
+    # counted inside each document by where the runs of its sorted tokens begin: no exchange by (term, id), and no search of the array for each term
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = t.select("id", F.size("w").alias("len"), "w", begins.alias("b"))
+    each = runs.select("id", "len", F.explode(F.transform("b", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.col("len")) - i).alias("tf")))).alias("c"))
+    return each.select("c.term", "id", "c.tf", "len")
 
 
 def contains(docs: DataFrame, text_col: str, needle: str) -> DataFrame:

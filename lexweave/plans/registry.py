@@ -136,6 +136,11 @@ def fulltext_postings(spark, d):
     return p.select("term", F.col("id").alias("ref_id"), "tf", "len")
 
 
+@query
+def fulltext_postings_chunks(spark, d):
+    return fulltext.postings(table(spark, d, "chunk"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+
+
 @query
 def text_contains(spark, d):
     return fulltext.contains(table(spark, d, "chunk"), "text", NEEDLE).select("chunk_id", "name")
@@ -146,6 +151,11 @@ def phrase_match_top1(spark, d):
     return law.best_document(table(spark, d, "law_ref").withColumnRenamed("ref_id", "kb_id"), PHRASE).select("kb_id", r6("score").alias("score"))
 
 
+@query
+def phrase_match_documents(spark, d):
+    return law.best_document(table(spark, d, "kb_document"), PHRASE).select("kb_id", r6("score").alias("score"))
+
+
 # ---------------------------------------------------------------- graph
 
 

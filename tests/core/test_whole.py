@@ -64,3 +64,15 @@ def test_pairs_and_keys_of_all_forms(spark, tables):
 ])
 def test_law_key(spark, name, key):
     assert spark.createDataFrame([(name,)], "n string").select(relations.law_key(F.col("n"))).first()[0] == key
+
+
+def test_postings_of_chunks(spark, tables):
+    d = tables(chunk=([("a", "Il canone, il CANONE e l’acqua."), ("b", "acqua"), ("c", " .,"), ("d", None)], "chunk_id string, text string"))
+    got = {(r.term, r.chunk_id, r.tf, r.len) for r in registry.queries()["fulltext_postings_chunks"](spark, d).collect()}
+    assert got == {("il", "a", 2, 7), ("canone", "a", 2, 7), ("e", "a", 1, 7), ("l", "a", 1, 7), ("acqua", "a", 1, 7), ("acqua", "b", 1, 1)}
+
+
+def test_phrase_of_documents(spark, tables):
+    names = ["Testo unico sulla illuminazione pubblica", "Illuminazione pubblica", "illuminazione della via pubblica", None, *["Codice della strada"] * 9]
+    d = tables(kb_document=([(i + 1, n) for i, n in enumerate(names)], DOCUMENT))
+    assert [r.kb_id for r in registry.queries()["phrase_match_documents"](spark, d).collect()] == [2]
