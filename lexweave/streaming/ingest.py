@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,23 +11,31 @@ from lexweave.sources.readers import decoded
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str = "*.txt", files_per_trigger: int = 1000) -> DataFrame:
-    """Stream (name, text, modified) of the files of a folder."""
+    """Stream (name, text, modified) of the files of a folder, of any age: by default the source drops those a week older than the newest."""
     s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-    raw = s.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    raw = s.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", "36500d").load(folder)
     return raw.select(basename(F.col("path")).alias("name"), decoded(F.col("content")).alias("text"), F.col("modificationTime").alias("modified"))
 
 
-def start_ingest(stream: DataFrame, out: str, checkpoint: str, watermark: str = "1 day"):
-    """Writes chunks to ``out``; a name that comes again within the watermark is loaded once.
+def start_ingest(stream: DataFrame, out: str, checkpoint: str):
+    """Writes chunks to ``out``; a name that comes again is loaded once, however old its file is.
 
-    Each batch goes to a folder of its own number, which a retry overwrites, so the sink is idempotent.
+    Each batch goes to a folder of its own number, which a retry overwrites, so the sink is idempotent. Names that
+    other batches have chunks of are left out; of one name in a batch the file modified first stays.
     """
-    once = stream.withWatermark("modified", watermark).dropDuplicatesWithinWatermark(["name"])
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_documents(batch, "name", "text").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        new = batch.groupBy("name").agg(F.min_by("text", F.struct("modified", "text")).alias("text"))
+        try:
+            written = batch.sparkSession.read.schema("name string, batch int").parquet(out)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            new = new.join(written.where(F.col("batch") != number).select("name").distinct(), "name", "left_anti")
+        chunk_documents(new, "name", "text").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def arrivals_by_window(stream: DataFrame, late: str = "30 days", window: str = "7 days") -> DataFrame:

@@ -1,5 +1,8 @@
 """The queries that do the whole job where a query with SQL does a part: over small tables made here."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +79,24 @@ def test_phrase_of_documents(spark, tables):
     names = ["Testo unico sulla illuminazione pubblica", "Illuminazione pubblica", "illuminazione della via pubblica", None, *["Codice della strada"] * 9]
     d = tables(kb_document=([(i + 1, n) for i, n in enumerate(names)], DOCUMENT))
     assert [r.kb_id for r in registry.queries()["phrase_match_documents"](spark, d).collect()] == [2]
+
+
+def test_old_and_repeated_files(spark, tmp_path):
+    from lexweave.streaming import ingest
+
+    src, out, ck = tmp_path / "s", str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def load(days, **files):
+        for name, text in files.items():
+            f = src / name.replace("__", "/").replace("_", ".")
+            f.parent.mkdir(parents=True, exist_ok=True)
+            f.write_text(text)
+            os.utime(f, (time.time() - 86400 * days,) * 2)
+        ingest.start_ingest(ingest.document_stream(spark, f"{src}/*"), out, ck).awaitTermination()
+        return sorted((r.name, r.text) for r in spark.read.parquet(out).collect())
+
+    assert load(0, x__a_txt="Uno.") == [("a.txt", "Uno.")]
+    # new names are loaded however old the files are, a name that was loaded is not
+    assert load(2, x__b_txt="Due.") == [("a.txt", "Uno."), ("b.txt", "Due.")]
+    assert load(400, x__c_txt="Tre.", y__a_txt="Altro.") == [("a.txt", "Uno."), ("b.txt", "Due."), ("c.txt", "Tre.")]
+    assert load(0) == load(0, y__c_txt="Altro.") == [("a.txt", "Uno."), ("b.txt", "Due."), ("c.txt", "Tre.")]
