@@ -1,19 +1,19 @@
 """Variant spellings of names typed by people (problem 4).
 
-Every text is parsed into a core (surname, or the coined word of a firm) and the rest (given name, initial, short or
-pet form; line of business, legal form). Cores are joined within an edit radius by metric-space partitioning: each
-core has its home in the cell of its nearest pivot, a visitor copy goes to every cell whose pivot is at most
-2 x radius farther than its own nearest one (by the triangle inequality no pair within the radius is lost), cells
-are subdivided by length, and inside a cell pairs whose distances to all pivots differ by at most the radius are
-verified with the true edit distance.
+Every text is parsed into a core (surname, or the coined word of a firm; the whole name where no part is listed) and
+the rest (given name, initial, short or pet form; line of business, legal form). The cores are joined within one edit
+of a true metric by metric-space partitioning (``metric.radius_join``), whatever their length.
 
 An entity then takes the identity (core, given name or business) that fits: full names go to the most frequent
 spelling of their core within the radius that has the same given name or business; initials, short forms and bare
-surnames or coined words take an identity only if exactly one fits. Pairs are the entities of one identity.
+surnames or coined words take an identity only if exactly one fits. Pairs are the entities of one identity. Lists of
+given names, pet forms and lines of business are a parameter (``Lexicon``). A full name without a listed part is its
+words in alphabetic order, joined by the same radius; initials and bare surnames meet it by each of its words.
 
 Defined results: null, blank and texts with digits (dates, sums, laws, dockets) name nobody; copies of a text share
-their identity; what fits several identities stays alone; labels are not read; extra columns are ignored. ``classes``
-gives one row for each entity and never grows beyond the input; ``pairs`` gives all pairs, so its rows are its size.
+their identity; what fits several identities stays alone; labels are not read; names of any length are compared whole;
+extra columns are ignored. ``classes`` gives one row for each entity and never grows beyond the input; ``pairs`` gives
+all pairs, so its rows are its size.
 """
 
 from __future__ import annotations
@@ -23,14 +23,12 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import checkpointed
-
-PIVOTS, RADIUS, BLOCK = 12, 2, 50_000
+from lexweave.llm.metric import one_edit, radius_join
+from lexweave.session import checkpointed, spread
 
 #: Given names (fixed values).
 GIVEN = """salvatore nicolò niccolò zoè ginevra fulvio otello federico federica domenico domenica raffaele raffaella caterina giuseppe giuseppina eleonora ettore tancredi jolanda
@@ -46,7 +44,6 @@ iole:jolanda nice:berenice tonino:antonio toni:antonio lella:raffaella rita:marg
 chicco:francesco peppino:giuseppe pippo:giuseppe gianna:giovanna giusy:giuseppina""".split())
 #: Pet forms that may stand for several names: they are short forms.
 SHORT = {"ale", "fede", "ila", "cate", "vale", "fra", "dani", "simo", "ste"}
-TITLES = "avv avvocato sig sigra signor signora signore dott dottssa dottor dottoressa prof profssa professor ing arch geom rag onle on le ra ssa dr".split()
 #: Lines of business (fixed values).
 BUSINESS = """cartiere|finanziaria|fonderie|trasporti|immobiliare|autolinee|cantieri navali|consorzio irriguo|cooperativa agricola|costruzioni generali|industrie alimentari|laboratori farmaceutici|officine meccaniche|servizi ambientali|
 associazione culturale|fratelli|gruppo|studio legale|banca popolare|tipografia|editrice""".replace("\n", "").split("|")
@@ -77,59 +74,53 @@ def squeezed(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1", plain(s))
 
 
-_NAMES = {squeezed(g): squeezed(g) for g in GIVEN} | {squeezed(d): squeezed(d) for d in DOUBLE} | {plain(p): squeezed(g.replace("_", " ")) for p, g in PET.items()}
-_LONG = sorted({(squeezed(g), plain(g)) for g in GIVEN})
-_WORDS = {plain(w): b for b in BUSINESS for w in b.split()}
-
-
-def one_slip(a: str, b: str) -> bool:
-    """At most one character added, lost, changed, or two neighbours swapped."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    x, y = a[i:], b[i:]
-    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
-
-
-@lru_cache(200_000)
-def given(token: str) -> str | None:
-    """Canonical given name of a token, also with one slip."""
-    p, s = plain(token), squeezed(token)
-    if p in _NAMES:
-        return _NAMES[p]
-    if s in _NAMES:
-        return _NAMES[s]
-    if len(p) >= 4:
-        for g, whole in _LONG:
-            if len(g) > 4 and (one_slip(s, g) or one_slip(p, whole)):
-                return g
-    return None
-
-
-@lru_cache(200_000)
-def business(token: str) -> str | None:
-    """The line of business a word belongs to: whole, cut short, or with one slip."""
-    dot, w = token.endswith("."), plain(token.rstrip("."))
-    if w in _WORDS:
-        return _WORDS[w]
-    if w in ("flli", "lli", "f.lli"):
-        return "fratelli"
-    if dot and len(w) >= 3:
-        hits = {b for x, b in _WORDS.items() if x.startswith(w)}
-        return hits.pop() if len(hits) == 1 else None
-    if len(w) >= 6:
-        for x, b in _WORDS.items():
-            if one_slip(w, x):
-                return b
-    return None
-
-
-def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
+#: In the place of a given name or line of business: a whole name without a listed part.
+WHOLE = "*"
+
+
+class Lexicon:
+    """Lists that help to tell given names and lines of business; any may be empty."""
+
+    def __init__(self, given: list[str] = (), double: list[str] = (), pet: dict[str, str] | None = None, short: set[str] = frozenset(), lines: list[str] = ()):  # type: ignore[assignment]
+        self.double, self.short, self.lines = tuple(double), set(short), tuple(lines)
+        self.names = {squeezed(g): squeezed(g) for g in (*given, *double)} | {plain(p): squeezed(g.replace("_", " ")) for p, g in (pet or {}).items()}
+        self.long = sorted({(squeezed(g), plain(g)) for g in given if len(squeezed(g)) > 4})
+        self.line_words = {plain(w): b for b in lines for w in b.split()}
+        self.given, self.business = lru_cache(200_000)(self._given), lru_cache(200_000)(self._business)
+
+    def _given(self, token: str) -> str | None:
+        """Canonical given name of a token, also with one edit."""
+        p, s = plain(token), squeezed(token)
+        if p in self.names:
+            return self.names[p]
+        if s in self.names:
+            return self.names[s]
+        if len(p) >= 4:
+            for g, whole in self.long:
+                if one_edit(s, g) or one_edit(p, whole):
+                    return g
+        return None
+
+    def _business(self, token: str) -> str | None:
+        """The line of business a word belongs to: whole, cut short, or with one edit."""
+        dot, w = token.endswith("."), plain(token.rstrip("."))
+        if w in self.line_words:
+            return self.line_words[w]
+        if w in ("flli", "lli", "f.lli") and "fratelli" in self.lines:
+            return "fratelli"
+        if dot and len(w) >= 3:
+            hits = {b for x, b in self.line_words.items() if x.startswith(w)}
+            return hits.pop() if len(hits) == 1 else None
+        if len(w) >= 6:
+            for x, b in self.line_words.items():
+                if one_edit(w, x):
+                    return b
+        return None
+
+
+def parse(text: str | None, lexicon: Lexicon | None = None) -> tuple[str, str, str, str, str] | None:
     """(kind, core, full, short, form): ``full`` the whole given name or business, ``short`` an initial or cut form."""
+    lx = lexicon or ITALIAN
     if not text or text.isspace() or re.search(r"\d|€", text):
         return None
     t = " ".join(text.replace("’", "'").split())
@@ -149,10 +140,10 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
             rest, titled = rest[m.end() :], True
     initials = re.match(r"^((?:[a-z]\.){2,})\s*(?=\S)", rest)
     tokens = [x for x in re.split(r"[\s,]+", re.sub(r"(?<=[a-z]\.)(?=[^\W\d_]{3})", " ", rest)) if x.strip(".-'")]
-    lines = [business(x) for x in tokens]
-    if not firm and not titled and any(lines) and not any(given(x) for x in tokens):
+    lines = [lx.business(x) for x in tokens]
+    if not firm and not titled and any(lines) and not any(lx.given(x) for x in tokens):
         firm = True
-    if initials and not titled and not any(given(x) for x in tokens):
+    if initials and not titled and not any(lx.given(x) for x in tokens):
         firm = True
     if firm:
         core, kinds = [], []
@@ -161,19 +152,21 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
                 kinds.append(b)
             elif re.fullmatch(r"(?:[a-z]\.){2,}", x):
                 letters = x.replace(".", "")
-                kinds += [b for b in BUSINESS if "".join(w[0] for w in b.split()) == letters][:1]
+                kinds += [b for b in lx.lines if "".join(w[0] for w in b.split()) == letters][:1]
             elif x not in ("e", "ed", "di", "del", "dei", "la", "il", "soc.", "societa", "società"):
                 core.append(plain(x).replace("-", "").strip("."))
-        line = max(set(kinds), key=kinds.count) if kinds else ""
+        line = max(sorted(set(kinds)), key=kinds.count) if kinds else ""
         name = " ".join(sorted(c for c in core if c))
+        if " " in name and not line:
+            line = WHOLE
         return ("org", name, line, "", form) if name else ("org", line, line, "", form) if line else None
     # persons
     joined = " ".join(tokens)
     full = short = ""
-    for d in DOUBLE:
+    for d in lx.double:
         ws = d.split()
         for k in range(len(tokens) - 1):
-            if all(given(x) == squeezed(w) or one_slip(plain(x), w) for x, w in zip(tokens[k : k + 2], ws)):
+            if all(lx.given(x) == squeezed(w) or one_edit(plain(x), w) for x, w in zip(tokens[k : k + 2], ws)):
                 full = squeezed(d)
                 del tokens[k : k + 2]
                 break
@@ -187,10 +180,10 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
                 ranked.append((2, k, "short", plain(bare)))
             elif x.endswith(".") and len(bare) <= 5:
                 ranked.append((1, k, "short", squeezed(bare)))
-            elif plain(x) in SHORT:
+            elif plain(x) in lx.short:
                 ranked.append((1, k, "short", squeezed(x)))
-            elif g := given(x):
-                exact = plain(x) in _NAMES or squeezed(x) in _NAMES
+            elif g := lx.given(x):
+                exact = plain(x) in lx.names or squeezed(x) in lx.names
                 ranked.append((0 if exact else 3, k, "full", g))
         if ranked and len(tokens) > 1:
             _, k, what, value = min(ranked)
@@ -199,125 +192,101 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
             else:
                 short = value
             del tokens[k]
-        elif len(tokens) == 2 and not ranked:
-            full = squeezed(tokens[0])
-            del tokens[0]
-    core = "".join(plain(x).strip(".-") for x in tokens)
+        elif len(tokens) > 1:
+            # no part is listed: the whole name, its words in alphabetic order
+            full = WHOLE
+            tokens.sort(key=lambda x: plain(x))
+    core = (" " if full == WHOLE else "").join(plain(x).strip(".-") for x in tokens)
     return ("person", core, full, short, "") if core and joined else None
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def pivots(sample: list[str], n: int) -> list[str]:
-    """Strings far from each other, of at most 300 sampled ones."""
-    if not sample:
-        return [""]
-    chosen = [sample[0]]
-    near = [_distance(s, chosen[0]) for s in sample]
-    while len(chosen) < min(n, len(sample)):
-        k = max(range(len(sample)), key=lambda i: near[i])
-        if near[k] == 0:
-            break
-        chosen.append(sample[k])
-        near = [min(d, _distance(s, sample[k])) for s, d in zip(sample, near)]
-    return chosen
-
-
-def radius_join(cores: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (a, b, d): all pairs of different strings of ``cores`` (core, distinct) within ``radius`` edits, both ways."""
-    cores = checkpointed(cores.select("core"))
-    n = cores.count()
-    sample = [r["core"] for r in cores.orderBy(F.xxhash64("core"), "core").limit(300).collect()]
-    chosen = pivots(sample, PIVOTS)
-    blocks = max(1, -(-n // BLOCK))
-    measured = cores.select("core", F.length("core").alias("n"), F.array(*(F.levenshtein("core", F.lit(p)) for p in chosen)).alias("ds"))
-    home = measured.select("core", "n", "ds", (F.array_position("ds", F.array_min("ds")) - 1).cast("int").alias("cell"), F.pmod(F.xxhash64("core"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("home"))
-    guests = (
-        measured.select("core", "n", "ds", F.posexplode("ds").alias("cell", "d")).where(F.col("d") <= F.array_min("ds") + 2 * radius)
-        .select("core", F.explode(F.sequence(F.col("n") - radius, F.col("n") + radius)).alias("n"), "ds", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("home"))
-    )
+ITALIAN = Lexicon(GIVEN, DOUBLE, PET, SHORT, BUSINESS)
+PLAIN = Lexicon()
+
+
+def read(text: str | None, lexicon: str) -> tuple[str, str, str, str, str] | None:
+    return parse(text, {"italian": ITALIAN, "none": PLAIN}[lexicon])
+
 
-    def inside(t: pa.Table) -> pa.Table:
-        core = t["core"].to_pylist()
-        ds = np.array(t["ds"].to_pylist(), np.int8).reshape(len(core), -1)
-        is_home = np.asarray(t["home"])
-        h, g = np.flatnonzero(is_home), np.flatnonzero(~is_home)
-        out: tuple[list[str], list[str]] = ([], [])
-        step = max(1, 3_000_000 // max(1, len(g)))
-        for k in range(0, len(h), step):
-            part = h[k : k + step]
-            ok = np.ones((len(part), len(g)), bool)
-            for p in range(ds.shape[1]):
-                ok &= np.abs(ds[part, p][:, None] - ds[g, p][None, :]) <= radius
-            i, j = np.nonzero(ok)
-            for x, y in zip(part[i].tolist(), g[j].tolist()):
-                if core[x] != core[y]:
-                    out[0].append(core[x])
-                    out[1].append(core[y])
-        return pa.table({"a": pa.array(out[0], pa.string()), "b": pa.array(out[1], pa.string())})
-
-    met = home.unionByName(guests).groupBy("cell", "n", "block").applyInArrow(inside, "a string, b string")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("d", F.levenshtein("a", "b", radius)).where("d >= 0")
-    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-
-
-def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (``id_col``, identity): who each entity is; null identity for those that name nobody or fit several."""
-    spark = df.sparkSession
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = "text string, kind string, core string, full string, short string, form string"
+
+
+def parsed(texts: DataFrame, lexicon: str = "italian") -> DataFrame:
+    """Rows (text, kind, core, full, short, form, parts) of the texts that name somebody; ``parts`` are the words of a whole name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            got = [parse(t) for t in texts]
-            keep = [k for k, g in enumerate(got) if g]
-            cols = [pa.array([got[k][i] for k in keep], pa.string()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), *cols], ["text", "kind", "core", "full", "short", "form"])
-
-    forms = checkpointed(src.where("text IS NOT NULL").select("text").distinct().mapInArrow(run, schema))
-    near = radius_join(forms.select("core").distinct())
-    # a radius of two edits only for cores long enough to stay apart
-    near = near.where((F.col("d") <= 1) & (F.least(F.length("a"), F.length("b")) >= 5) | (F.least(F.length("a"), F.length("b")) >= 8))
-    near = checkpointed(near.unionByName(forms.select("core").distinct().select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d"))))
-    query = """
-    WITH ident AS (SELECT kind, core, full, count(*) AS n, collect_set(nullif(form, '')) AS forms FROM {forms} WHERE full <> '' GROUP BY kind, core, full),
-    -- each identity goes to the most frequent spelling of its core with the same given name or business, and on to where that one goes
-    step AS (
-      SELECT i.kind, i.core, i.full, min_by(j.core, (-j.n, j.core)) AS root
-      FROM ident i JOIN {near} m ON i.core = m.a JOIN ident j ON j.core = m.b AND j.kind = i.kind AND j.full = i.full
-      GROUP BY i.kind, i.core, i.full),
-    root AS (SELECT a.kind, a.core, a.full, b.root FROM step a JOIN step b ON b.kind = a.kind AND b.full = a.full AND b.core = a.root),
-    part AS (SELECT text, kind, core, short, form FROM {forms} WHERE full = ''),
-    fits AS (
-      SELECT p.text, 2 * m.d + CASE WHEN p.form = '' OR array_contains(j.forms, p.form) THEN 0 ELSE 1 END AS d, r.root, r.full
-      FROM part p JOIN {near} m ON p.core = m.a
-      JOIN ident j ON j.kind = p.kind AND j.core = m.b AND (p.short = '' OR startswith(j.full, p.short)) AND (p.form = '' OR size(j.forms) = 0 OR array_contains(j.forms, p.form))
-      JOIN root r ON r.kind = j.kind AND r.core = j.core AND r.full = j.full),
-    closest AS (SELECT text, min(d) AS d FROM fits GROUP BY text),
-    only_one AS (
-      SELECT f.text, min(f.root) AS root, min(f.full) AS full FROM fits f JOIN closest c ON f.text = c.text AND f.d = c.d
-      GROUP BY f.text HAVING count(DISTINCT f.root, f.full) = 1),
-    -- without any full name: the same core and the same short form
-    alone AS (
-      SELECT p.text, p.core AS root, concat('~', p.short, p.form) AS full FROM part p LEFT ANTI JOIN closest c ON p.text = c.text WHERE p.short <> '' OR p.kind = 'org')
-    SELECT f.text, concat_ws('|', f.kind, r.root, r.full) AS identity FROM {forms} f JOIN root r ON f.kind = r.kind AND f.core = r.core AND f.full = r.full WHERE f.full <> ''
-    UNION ALL SELECT p.text, concat_ws('|', p.kind, o.root, o.full) FROM part p JOIN only_one o ON p.text = o.text
-    UNION ALL SELECT p.text, concat_ws('|', p.kind, a.root, a.full) FROM part p JOIN alone a ON p.text = a.text
-    """
-    named = spark.sql(query, forms=forms, near=near)
-    return src.join(named, "text", "left").select(F.col("id").alias(id_col), "identity")
-
-
-def pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+            got = [(t, p) for t in b.column(0).to_pylist() if (p := read(t, lexicon))]
+            cols = [pa.array([p[i] for _, p in got], pa.string()) for i in range(5)]
+            words = [p[1].split() if p[2] == WHOLE else [] for _, p in got]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), *cols, pa.array(words, pa.list_(pa.string()))], ["text", "kind", "core", "full", "short", "form", "parts"])
+
+    return texts.mapInArrow(run, "text string, kind string, core string, full string, short string, form string, parts array<string>")
+
+
+def _rooted(ident: DataFrame, near: DataFrame) -> DataFrame:
+    """ident(kind, core, full, n) with ``root``: the most frequent spelling of the core within the radius, and of that one, to the end."""
+    spark = ident.sparkSession
+    step = spark.sql(
+        """
+        SELECT i.kind, i.core, i.full, min_by(j.core, (-j.n, j.core)) AS root
+        FROM {i} i JOIN {m} m ON i.core = m.a JOIN {i} j ON j.core = m.b AND j.kind = i.kind AND j.full = i.full GROUP BY i.kind, i.core, i.full
+        """,
+        i=ident, m=near,
+    )
+    root = checkpointed(step)
+    while True:
+        on = spark.sql("SELECT a.kind, a.core, a.full, b.root, b.root <> a.root AS moved FROM {r} a JOIN {r} b ON b.kind = a.kind AND b.full = a.full AND b.core = a.root", r=root)
+        on = checkpointed(on)
+        root = on.drop("moved")
+        if on.where("moved").isEmpty():
+            return root
+
+
+def classes(df: DataFrame, id_col: str, text_col: str, lexicon: str = "italian") -> DataFrame:
+    """Rows (``id_col``, identity): who each entity is; null identity for those that name nobody or fit several."""
+    spark = df.sparkSession
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    forms = checkpointed(parsed(spread(src.where("text IS NOT NULL").select("text")), lexicon).distinct())
+    words = forms.select(F.explode("parts").alias("core"))
+    cores = checkpointed(forms.select("core").unionByName(words).distinct())
+    near = radius_join(cores).unionByName(cores.select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d")))
+    near = checkpointed(near)
+    ident = checkpointed(forms.where("full <> ''").groupBy("kind", "core", "full").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.nullif("form", F.lit(""))).alias("forms"), F.first("parts").alias("parts")))
+    root = _rooted(ident, near)
+    part = forms.where("full = ''")
+    # where an initial, a short form or a bare surname may meet an identity: its core, or each word of a whole name
+    keys = spark.sql(
+        """
+        SELECT kind, root, full, forms, explode(CASE WHEN size(parts) = 0 THEN array(struct(core AS at, array(full) AS givens))
+          ELSE transform(parts, (w, k) -> struct(w AS at, filter(parts, (x, l) -> l <> k) AS givens)) END) AS k
+        FROM {i} JOIN {r} USING (kind, core, full)
+        """,
+        i=ident, r=root,
+    )
+    fits = spark.sql(
+        """
+        SELECT p.text, 2 * m.d + CASE WHEN p.form = '' OR array_contains(j.forms, p.form) THEN 0 ELSE 1 END AS d, j.root, j.full
+        FROM {p} p JOIN {m} m ON p.core = m.a JOIN {k} j ON j.kind = p.kind AND j.k.at = m.b
+        WHERE (p.short = '' OR exists(j.k.givens, g -> startswith(g, p.short))) AND (p.form = '' OR size(j.forms) = 0 OR array_contains(j.forms, p.form))
+        """,
+        p=part, m=near, k=keys,
+    )
+    # the closest identities of a text, if they are one
+    closest = checkpointed(fits.groupBy("text").agg(F.min_by(F.struct("root", "full"), F.struct("d", "root", "full")).alias("one"), F.max_by(F.struct("root", "full"), F.struct(-F.col("d"), "root", "full")).alias("other")))
+    only = closest.where("one = other").select("text", "one.root", "one.full")
+    # what meets no identity: the same core within the radius and the same short form; bare words are themselves alone
+    left = part.join(closest.select("text"), "text", "left_anti").withColumn("full", F.concat(F.lit("~"), "short", "form"))
+    named = left.where("short <> '' OR kind = 'org'")
+    own = _rooted(named.groupBy("kind", "core", "full").agg(F.count(F.lit(1)).alias("n")), near)
+    identity = lambda d: d.select("text", F.concat_ws("|", "kind", "root", "full").alias("identity"))
+    found = identity(forms.where("full <> ''").join(root, ["kind", "core", "full"]))
+    found = found.unionByName(identity(part.select("text", "kind").join(only, "text"))).unionByName(identity(named.select("text", "kind", "core", "full").join(own, ["kind", "core", "full"])))
+    found = found.unionByName(left.where("short = '' AND kind <> 'org'").select("text", F.concat(F.lit("text|"), "text").alias("identity")))
+    return src.join(found, "text", "left").select(F.col("id").alias(id_col), "identity")
+
+
+def pairs(df: DataFrame, id_col: str, text_col: str, lexicon: str = "italian") -> DataFrame:
     """Rows (id_a, id_b): every pair of entities of one identity, the smaller id first."""
-    who = checkpointed(classes(df, id_col, text_col).where("identity IS NOT NULL").select(F.col(id_col).alias("id"), "identity"))
+    who = checkpointed(classes(df, id_col, text_col, lexicon).where("identity IS NOT NULL").select(F.col(id_col).alias("id"), "identity"))
     other = who.select(F.col("id").alias("id_b"), F.col("identity").alias("other"))
     return who.join(other, (F.col("identity") == F.col("other")) & (F.col("id") < F.col("id_b"))).select(F.col("id").alias("id_a"), "id_b")
