@@ -1,15 +1,17 @@
 """Mapping free-entered values to a canonical list (problem 1), in SQL only.
 
-``pigeonhole_join`` finds all pairs of strings within k edits: a reference string is cut into k+1 segments, of which
-at least one must stand unchanged in the value, at a place shifted by at most k; so values and references are joined
-by equality on (length of the reference, number of the segment, substring), and only the pairs met are verified with
-the built-in levenshtein. k grows with the length of the reference string.
-
-``map_laws`` applies it to names of laws. A value is cleaned of decoration and read in one of two ways. A numbered
-act must agree exactly in number, year and, where given, day and month, while its kind (typed, abbreviated, garbled)
-is met by the join. A named code or consolidated act is met by the join on its written forms, or, where words are
-cut short, by equality on the first letters of its words and a check that every word begins the canonical one.
-Values that meet no entry, or several equally well, come out through an anti-join with -1.
+``pigeonhole_join`` finds all pairs of strings within k edits. A reference string is cut into 2 (k + 1) segments, of
+which k edits leave at least k + 2 unchanged, so of any k + 1 of them at least one stands unchanged in the value; the
+k + 1 rarest are indexed, by (length, place, substring), and what all references have in common is not. In the value a
+segment is shifted by at most (k + difference of the lengths) / 2. The pairs met by equality are verified with the
+built-in levenshtein. Digits of a string admit no edit: they are kept apart, and are part of every key.
+
+``map_laws`` applies it to names of laws: every mapped row comes through the join. Values and references are brought to
+the same written forms first: a numbered act is its kind with number, year and, where given, day and month; a named act
+is its name, and its subject with a mark of the kind before or behind; a name with words cut short is the first letters
+of its words, joined without edits and verified word by word. References have their own name in these forms, and the
+kinds in their usual abbreviations (``ALIASES``, a parameter). Of the entries met the nearest is taken; values that
+meet none, or several equally near, come out through an anti-join with -1.
 
 Defined results: null and blank values have no row; each other row of the input has exactly one, repeated rows
 included; an empty reference list gives -1 throughout; extra columns are ignored. Values of any length are compared
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame
 
 from lexweave.session import checkpointed
 
-#: Edits allowed by the length of the reference string.
+#: Edits allowed by the number of letters: one to four characters name a kind by an abbreviation, in which every letter counts.
 EDITS = "CASE WHEN {n} < 5 THEN 0 WHEN {n} < 8 THEN 2 WHEN {n} < 24 THEN 3 ELSE 4 END"
+MOST = 4
 
 #: Written forms of the kinds of numbered acts, without blanks and marks (fixed values).
-KINDS = {
+ALIASES = {
     "legge": "legge l",
     "decreto-legge": "decretolegge dl decrlegge",
     "decreto legislativo": "decretolegislativo dlgs decrlegvo decrlgs dleg dlegvo decrlegisl",
@@ -37,29 +40,51 @@ MONTHS = "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ot
 
 
 def pigeonhole_join(values: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rows (v, rid, r, d) for all pairs of strings within the edits allowed: values(v), refs(rid, r)."""
+    """Rows (form, v, digits, rid, r, d) of all pairs within the edits allowed.
+
+    values(form, v, digits), distinct; refs(form, rid, r, digits, k), k of at most ``MOST``. Strings meet within a form
+    and with equal digits. A pair met by several strings of a reference comes out for each.
+    """
     spark = values.sparkSession
-    longest = "(SELECT coalesce(max(length(r)), 0) FROM {refs})"
-    # segment i of a string of length n, cut into k+1: the first ones are one character shorter where it does not divide
-    pos = "i * (n DIV (k + 1)) + greatest(0, i - (k + 1 - n % (k + 1)))"
-    size = "n DIV (k + 1) + CASE WHEN i >= k + 1 - n % (k + 1) THEN 1 ELSE 0 END"
+    # segment i of a string of length n, cut into m: the first ones are one character shorter where it does not divide
+    pos = "i * (n DIV m) + greatest(0, i - (m - n % m))"
+    size = "n DIV m + CASE WHEN i >= m - n % m THEN 1 ELSE 0 END"
+    cut = "greatest(k + 1, least(2 * (k + 1), n DIV 2))"
+    ref = spark.sql(
+        f"""
+        SELECT *, substring(r, {pos} + 1, {size}) AS seg FROM (
+          SELECT *, explode(sequence(0, m - 1)) AS i FROM (
+            SELECT *, {cut} AS m FROM (SELECT DISTINCT form, rid, r, digits, k, length(r) AS n FROM {{refs}} WHERE length(r) > 0)))
+        """,
+        refs=refs,
+    )
+    # the k + 1 rarest segments of each string
+    ref = spark.sql(
+        """
+        SELECT form, rid, r, digits, k, n, m, i, seg FROM (
+          SELECT r.*, row_number() OVER (PARTITION BY form, rid, r, digits ORDER BY c, i) AS place
+          FROM {r} r JOIN (SELECT form, n, k, digits, i, seg, count(*) AS c FROM {r} GROUP BY ALL) USING (form, n, k, digits, i, seg))
+        WHERE place <= k + 1
+        """,
+        r=ref,
+    )
+    ref = checkpointed(ref)
     # the planner does not foresee how many substrings a value gives, so it is told not to broadcast them
     query = f"""
-    WITH ref AS (
-      SELECT rid, r, n, i, substring(r, {pos} + 1, {size}) AS seg FROM (
-        SELECT *, explode(sequence(0, k)) AS i FROM (SELECT rid, r, length(r) AS n, {EDITS.format(n="length(r)")} AS k FROM {{refs}} WHERE length(r) > 0))
-    ), val AS (
-      SELECT v, n, i, substring(v, {pos} + shift + 1, {size}) AS seg FROM (
-        SELECT *, explode(sequence(greatest(-k, -({pos})), k)) AS shift FROM (
-          SELECT *, explode(sequence(0, k)) AS i FROM (
-            SELECT *, {EDITS.format(n="n")} AS k FROM (
-              SELECT v, explode(sequence(greatest(1, length(v) - 4), length(v) + 4)) AS n FROM {{values}} WHERE length(v) BETWEEN 1 AND {longest} + 4))
-          WHERE abs(length(v) - n) <= k))
+    WITH shape AS (SELECT DISTINCT form, n, k, m, i, {size} AS size, {pos} AS pos FROM {{ref}}),
+    val AS (
+      SELECT form, v, digits, n, k, i, substring(v, at + 1, size) AS seg FROM (
+        SELECT *, explode(sequence(greatest(0, pos + ceil((len - n - k) / 2)), least(len - size, pos + floor((len - n + k) / 2)))) AS at
+        FROM (SELECT form, v, digits, length(v) AS len, explode(sequence(greatest(1, length(v) - {MOST}), length(v) + {MOST})) AS n FROM {{values}}
+              WHERE length(v) BETWEEN 1 AND (SELECT coalesce(max(n), 0) FROM {{ref}}) + {MOST}) JOIN shape USING (form, n)
+        WHERE abs(len - n) <= k AND greatest(0, pos + ceil((len - n - k) / 2)) <= least(len - size, pos + floor((len - n + k) / 2)))
     )
-    SELECT v, rid, r, levenshtein(v, r) AS d FROM (SELECT /*+ MERGE(val) */ DISTINCT val.v, ref.rid, ref.r FROM val JOIN ref ON val.n = ref.n AND val.i = ref.i AND val.seg = ref.seg)
-    WHERE levenshtein(v, r) <= {EDITS.format(n="length(r)")}
+    SELECT * FROM (
+      SELECT form, v, digits, rid, r, levenshtein(v, r, k) AS d FROM (
+        SELECT /*+ MERGE(val) */ DISTINCT form, val.v, digits, ref.rid, ref.r, k FROM val JOIN {{ref}} ref USING (form, n, k, digits, i, seg)))
+    WHERE d >= 0
     """
-    return spark.sql(query, refs=refs, values=values)
+    return spark.sql(query, ref=ref, values=values)
 
 
 def _cleaned(column: str) -> str:
@@ -103,7 +128,7 @@ def _acts(rows: DataFrame, column: str) -> DataFrame:
     """
     parsed = checkpointed(spark.sql(query, rows=rows))
     query = """
-    SELECT * EXCEPT (marked, dated, rest, day_, month_, before, after, lead_year),
+    SELECT name, rid,
       CAST(CASE WHEN dated <> '' THEN regexp_extract(dated, '/([0-9]+)>', 1) WHEN after <> '' THEN after WHEN lead_year <> '' THEN lead_year END AS INT) AS year,
       CAST(CASE WHEN dated <> '' THEN nullif(regexp_extract(rest, '([0-9]+)', 1), '') WHEN after <> '' THEN before
         WHEN lead_year <> '' THEN nullif(regexp_extract(rest, '^ ?[0-9]{{4}}[^0-9]+([0-9]+)', 1), '') END AS BIGINT) AS number,
@@ -121,83 +146,82 @@ def _letters(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({x}, '[^a-zà-ÿ]+', ' '), ' +', ' '))"
 
 
-def map_laws(docs: DataFrame, refs: DataFrame, id_col: str = "kb_id", name_col: str = "nome_legge", ref_id: str = "ref_id", ref_name: str = "nome_legge") -> DataFrame:
+def map_laws(docs: DataFrame, refs: DataFrame, id_col: str = "kb_id", name_col: str = "nome_legge", ref_id: str = "ref_id", ref_name: str = "nome_legge", aliases: dict[str, str] | None = None) -> DataFrame:
     """Rows (``id_col``, ref_id): the entry each name means, -1 for none."""
     spark = docs.sparkSession
     names = spark.sql(f"SELECT {id_col} AS id, {name_col} AS name FROM {{docs}} WHERE trim(regexp_replace({name_col}, '\\\\s+', ' ')) <> ''", docs=docs)
-    values = checkpointed(spark.sql(f"SELECT name, {_cleaned('name')} AS x FROM (SELECT DISTINCT name FROM {{names}})", names=names))
-    entries = spark.sql(f"SELECT CAST({ref_id} AS BIGINT) AS rid, {_cleaned(ref_name)} AS x FROM {{refs}} WHERE {ref_name} IS NOT NULL", refs=refs)
-    entries = checkpointed(entries)
-
-    # Numbered acts: equality in number and date, the kind by the join.
-    kinds = spark.createDataFrame([(k, f) for k, forms in KINDS.items() for f in forms.split()], "rid string, r string")
-    ref_acts = _acts(spark.sql("SELECT rid, x FROM {e} WHERE x RLIKE '[0-9]'", e=entries), "x")
-    val_acts = _acts(spark.sql("SELECT name, x FROM {v} WHERE regexp_replace(x, ' - .*$', '') RLIKE '[0-9]'", v=values), "x")
-    texts = spark.sql("SELECT DISTINCT kind_text AS v FROM {a} UNION SELECT DISTINCT kind_text FROM {b}", a=ref_acts, b=val_acts)
-    met = pigeonhole_join(texts, kinds)
-    kind = checkpointed(spark.sql("SELECT v, explode(array_distinct(transform(filter(l, x -> x.d = l[0].d), x -> x.rid))) AS kind FROM (SELECT v, array_sort(collect_set(struct(d, rid))) AS l FROM {m} GROUP BY v) WHERE l[0].d = 0 OR 2 * l[0].d < length(v)", m=met))
-    acts = spark.sql(
-        """
-        SELECT /*+ MERGE(vk, r) */ DISTINCT v.name, r.rid, 0 AS d FROM {v} v JOIN {k} vk ON v.kind_text = vk.v
-        JOIN ({r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r ON vk.kind = r.kind AND v.number = r.number AND v.year = r.year
-        WHERE (v.day IS NULL OR (v.day = r.day AND v.month = r.month))
-        """.replace("({r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r", "(SELECT r0.*, rk.kind FROM {r} r0 JOIN {k} rk ON r0.kind_text = rk.v) r"),
-        v=val_acts, r=ref_acts, k=kind,
-    )
-
-    # Named acts: written forms, by the join.
-    subject = spark.sql(
+    # names and references go the same way: rid is null for names
+    texts = checkpointed(
+        spark.sql(
+            f"""
+            SELECT name, CAST(NULL AS BIGINT) AS rid, {_cleaned('name')} AS x FROM (SELECT DISTINCT name FROM {{names}})
+            UNION ALL SELECT {ref_name}, CAST({ref_id} AS BIGINT), {_cleaned(ref_name)} FROM {{refs}} WHERE {ref_name} IS NOT NULL
+            """,
+            names=names, refs=refs,
+        )
+    )
+    kinds = [(k, f) for k, forms in (ALIASES if aliases is None else aliases).items() for f in forms.split()]
+    kinds = spark.createDataFrame(kinds, "kind string, alias string")
+
+    # Numbered acts: the kind as a string, number, year and date as digits.
+    acts = _acts(spark.sql("SELECT name, rid, x FROM {t} WHERE regexp_replace(x, ' - .*$', '') RLIKE '[0-9]'", t=texts), "x")
+    short, dated = "concat(number, '/', year)", "concat(number, '/', year, '@', day, '.', month)"
+    act_values = spark.sql(f"SELECT name, 'act' AS form, kind_text AS v, CASE WHEN day IS NULL THEN {short} ELSE {dated} END AS digits FROM {{a}} WHERE rid IS NULL AND number IS NOT NULL AND year IS NOT NULL AND (day IS NULL) = (month IS NULL)", a=acts)
+    act_refs = spark.sql(
         f"""
-        SELECT rid, kind, s FROM (
-          SELECT rid, CASE WHEN x LIKE 'codice%' THEN 'codice' ELSE 'tu' END AS kind,
-            {_letters("regexp_replace(x, '^(codice|testo unico)( delle disposizioni)?( in materia)?( di| della| del| dei| delle)?', '')")} AS s
-          FROM {{e}} WHERE NOT x RLIKE '[0-9]' AND x RLIKE '^(codice|testo unico)')
-        WHERE s <> ''
+        SELECT 'act' AS form, rid, r, explode(filter(array_distinct(array({short}, {dated})), y -> y IS NOT NULL)) AS digits, {EDITS.format(n="length(r)")} AS k FROM (
+          SELECT DISTINCT a.*, coalesce(w.alias, a.kind_text) AS r FROM {{a}} a LEFT JOIN {{k}} same ON a.kind_text = same.alias LEFT JOIN {{k}} w ON w.kind = same.kind
+          WHERE a.rid IS NOT NULL AND number IS NOT NULL AND year IS NOT NULL)
         """,
-        e=entries,
+        a=acts, k=kinds,
+    )
+
+    # Named acts: the name in letters; the subject with a mark of the kind; the first letters of words cut short.
+    opening = "^(codice|cod|c|testo unico|testo un|tu)( delle disposizioni| disp)?( in materia| in mat)?( di| della| del| dei| delle| su)? "
+    kind_of = "CASE WHEN v RLIKE '^(testo un|tu )' OR v RLIKE ' (tu|testo unico)$' THEN 'tu' WHEN v RLIKE '^(codice|cod|c) ' OR v RLIKE ' (codice|cod|c)$' THEN 'codice' END"
+    named = checkpointed(
+        spark.sql(
+            f"""
+            SELECT *, regexp_replace(regexp_replace(v, '{opening}', ''), ' (codice|cod|c|testo unico|tu)$', '') AS s, {kind_of} AS kind
+            FROM (SELECT name, rid, regexp_replace({_letters('x')}, '(^| )t u( |$)', '$1tu$2') AS v FROM {{t}} WHERE NOT x RLIKE '[0-9]')
+            """,
+            t=texts,
+        )
     )
-    forms = spark.sql(
-        """
-        SELECT rid, replace(replace(f, '%', s), '  ', ' ') AS r FROM {s} JOIN (SELECT kind AS k, explode(forms) AS f FROM VALUES
-          ('codice', array('codice in materia di %', 'codice della %', 'codice %', 'codice di %', 'codice su %', 'cod %', 'c %', '% codice', '% cod', '% c', '%')),
-          ('tu', array('testo unico delle disposizioni in materia di %', 'testo unico in materia di %', 'testo unico %', 'testo unico su %', 'testo unico di %', 'testo un %', 'tu %',
-                       'tu disp in mat di %', 'tu delle disposizioni in materia di %', 'tu su %', '% tu', '% testo unico', '%')) AS t(kind, forms)) ON kind = k
+    cut = "array_join(transform(split(s, ' '), w -> substring(w, 1, 2)), ' ')"
+    named_values = spark.sql(
+        f"""
+        SELECT name, 'name' AS form, v, '' AS digits FROM {{n}} WHERE rid IS NULL AND v <> ''
+        UNION ALL SELECT name, 'name', concat(s, ' ', kind), '' FROM {{n}} WHERE rid IS NULL AND kind IS NOT NULL AND s <> ''
+        UNION ALL SELECT name, 'cut', concat({cut}, ' ', kind), '' FROM {{n}} WHERE rid IS NULL AND kind IS NOT NULL AND name RLIKE '[A-Za-z]{{{{2,}}}}[.]'
         """,
-        s=subject,
+        n=named,
     )
-    written = spark.sql(f"SELECT name, regexp_replace({_letters('x')}, '(^| )t u( |$)', '$1tu$2') AS v, x FROM {{v}} WHERE NOT x RLIKE '[0-9]'", v=values)
-    written = checkpointed(written)
-    near = pigeonhole_join(spark.sql("SELECT DISTINCT v FROM {w} WHERE v <> ''", w=written), forms)
-    named = spark.sql("SELECT /*+ MERGE(n) */ DISTINCT w.name, n.rid, n.d FROM {w} w JOIN {n} n ON w.v = n.v", w=written, n=near)
-
-    # Words cut short: equality on the first letters of all words, then every word must begin the canonical one.
-    tail = "regexp_replace(regexp_replace(v, '^(codice|cod|c|testo unico|testo un|tu)( delle disposizioni| disp)?( in materia| in mat)?( di| della| del| su)? ', ''), ' (codice|cod|c|testo unico|tu)$', '')"
-    cut = spark.sql(
+    named_refs = spark.sql(
         f"""
-        SELECT name, kind, words, array_join(transform(words, w -> substring(w, 1, 2)), ' ') AS key FROM (
-          SELECT name, split({tail}, ' ') AS words,
-            CASE WHEN v RLIKE '^(testo un|tu )' OR v RLIKE ' (tu|testo unico)$' THEN 'tu' WHEN v RLIKE '^(codice|cod|c) ' OR v RLIKE ' (codice|cod|c)$' THEN 'codice' END AS kind
-          FROM {{w}} WHERE name RLIKE '[A-Za-z]{{{{2,}}}}[.]')
-        WHERE kind IS NOT NULL
+        SELECT 'name' AS form, rid, v AS r, '' AS digits, {EDITS.format(n="length(v)")} AS k FROM {{n}} WHERE rid IS NOT NULL
+        UNION ALL SELECT 'name', rid, explode(array(concat(s, ' ', kind), concat(kind, ' ', s), s)), '', {EDITS.format(n="length(s)")} FROM {{n}} WHERE rid IS NOT NULL AND kind IS NOT NULL AND s <> ''
+        UNION ALL SELECT 'cut', rid, concat({cut}, ' ', kind), '', 0 FROM {{n}} WHERE rid IS NOT NULL AND kind IS NOT NULL AND s <> ''
         """,
-        w=written,
+        n=named,
     )
-    short = spark.sql(
+    values = checkpointed(act_values.unionByName(named_values))
+    met = pigeonhole_join(values.select("form", "v", "digits").distinct(), act_refs.unionByName(named_refs))
+    # the kind of an act must be the nearest of all kinds; words cut short must each begin the word they stand for
+    found = spark.sql(
         """
-        SELECT DISTINCT c.name, s.rid, 0 AS d FROM {c} c
-        JOIN (SELECT rid, kind, split(s, ' ') AS full, array_join(transform(split(s, ' '), w -> substring(w, 1, 2)), ' ') AS key FROM {s}) s ON c.kind = s.kind AND c.key = s.key
-        WHERE forall(zip_with(c.words, s.full, (a, b) -> startswith(b, a)), ok -> ok)
+        SELECT w.name, m.rid, m.d FROM {w} w JOIN {m} m USING (form, v, digits) CROSS JOIN (SELECT collect_list(alias) AS every FROM {k})
+        LEFT JOIN (SELECT name, split(s, ' ') AS words FROM {n} WHERE rid IS NULL) c ON form = 'cut' AND c.name = w.name
+        LEFT JOIN (SELECT rid AS id, split(s, ' ') AS words FROM {n} WHERE rid IS NOT NULL) f ON form = 'cut' AND f.id = m.rid
+        WHERE CASE form WHEN 'act' THEN m.d = 0 OR (2 * m.d < length(v) AND forall(every, a -> levenshtein(v, a) >= m.d))
+          WHEN 'cut' THEN size(c.words) = size(f.words) AND forall(zip_with(c.words, f.words, (a, b) -> startswith(b, a)), ok -> ok) ELSE true END
         """,
-        c=cut, s=subject,
-    )
-
-    found = spark.sql("SELECT * FROM {a} UNION ALL SELECT * FROM {b} UNION ALL SELECT * FROM {c}", a=acts, b=named, c=short)
-    # the nearest entries of a name are few; it is mapped if they are one
+        w=values, m=met, k=kinds, n=named,
+    )
+    # the nearest entries of a name; it is mapped if they are one
     chosen = spark.sql(
         """
-        SELECT name, best[0] AS rid FROM (
-          SELECT name, array_distinct(transform(filter(l, x -> x.d = l[0].d), x -> x.rid)) AS best FROM (SELECT name, array_sort(collect_set(struct(d, rid))) AS l FROM {f} GROUP BY name))
-        WHERE size(best) = 1
+        SELECT name, one.rid FROM (SELECT name, min(struct(d, rid)) AS one, max_by(struct(d, rid), struct(-d, rid)) AS other FROM {f} GROUP BY name) WHERE one = other
         """,
         f=found,
     )
