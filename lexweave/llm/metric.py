@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexweave.session import checkpointed, parallelism
 
 #: Strings a cell holds at most: between these, by the number of strings and of tasks.
-LEAST, MOST = 1_000, 100_000
+LEAST, MOST = 3_000, 100_000
 #: Strings sampled in a cell that is split, pivots tried for each split, and the fewest sampled strings that are split.
 SAMPLE, TRIED, FEWEST = 4_000, 12, 64
 #: Strings longer than this are split by their length, the distance to the empty string.
