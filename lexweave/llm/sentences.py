@@ -7,12 +7,17 @@ decide. Offsets count code points, the end lies after the last character.
 
 Defined results: a null, empty or blank text has no sentences; outer white space belongs to none; a text without
 any mark is one sentence; an opening mark whose partner is missing is read as ordinary text; texts of any length
-are read whole in one pass; repeated rows each give their sentences; extra columns are ignored.
+are read whole, in time that grows with their length; repeated rows each give their sentences; extra columns are
+ignored.
+
+Rules that look at a bounded part of the text: a Greek question mark (;) needs a Greek letter among the 60 characters
+before it; a line in capitals is a heading up to 45 characters, one that opens with a numbered part of a law up to 60.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,16 +46,20 @@ FORMS = {"spa", "srl", "snc", "sas"}
 
 OPEN = {"«": "»", "“": "”", "„": "“", "(": ")", "[": "]", "「": "」", "『": "』", "《": "》", "（": "）", "【": "】", "‹": "›", "〈": "〉"}
 CLOSE = {c for c in OPEN.values()} | {"”", "“"}
-TERMINATORS = ".!?…。！？｡؟।॥۔"
+TERMINATORS = ".!?…。！？｡؟।॥۔។៕။።፧։།"
+#: Marks that end a sentence by themselves: Indic, Urdu, Khmer, Burmese, Ethiopic, Armenian, Tibetan.
+FULL_STOPS = "।॥۔؟។៕။።፧։།"
 WIDE = "。！？｡"
 
-_EVENT = re.compile(r'[.…]+|[!?。！？｡؟।॥۔;;\n\x0c«»“”„"()\[\]「」『』《》（）【】‹›〈〉]|(?<=\S)[ \t]+(?=[฀-๿])')
+_EVENT = re.compile(r'[.…]+|[!?。！？｡؟।॥۔។៕။።፧։།;;\n\x0c«»“”„"()\[\]「」『』《》（）【】‹›〈〉]|(?<=\S)[ \t]+(?=[฀-๿຀-໿])')
 _PAIR = re.compile(r'[«»“”„"()\[\]「」『』《》（）【】‹›〈〉]')
 _ENUM = re.compile(r"(?:\(?(?:\d{1,3}(?:\.\d{1,3}){0,3}(?:[-\s]?(?:bis|ter|quater|quinquies))?|[a-zA-Z]{1,2}|[ivxlcIVXLC]{1,6})(?:[.)]|\.\))|[-–—•*·]|§\s?\d+\.?)(?=\s)")
 _HEAD = re.compile(r"(?:(?i:capo|titolo|sezione|parte|libro|art(?:icolo|\.)?|allegato|section|kapitel|chapter|chapitre)\s+[\dIVXLCivxlc]+\b)")
 _NAME4 = re.compile(r"(?<![^\W\d_])[A-ZÀ-Þ][a-zà-ÿ]{2,3}$")
 _SPACE = re.compile(r"\s*")
 _WORD = re.compile(r"\S+")
+_OPENING = re.compile(r"(?:[A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ])[’' ,]?")
+_LINK, _SMALL = re.compile("@|://"), re.compile("[a-zß-öø-ÿа-яα-ω]")
 _LOWER_GOES_ON = re.compile(r"[a-zà-ÿα-ωά-ώ]")
 
 
@@ -86,31 +95,42 @@ def _abbreviation(text: str, dot: int, floor: int) -> str | None:
 
 
 def _pairs(text: str) -> dict[int, int]:
-    """Matching marks by place; those without a partner are left out, as are pairs over an empty line."""
-    stack: list[tuple[str, int]] = []
+    """Matching marks by place; those without a partner are left out, as are pairs over an empty line.
+
+    Every mark is put on the stack and taken off it once; where each kind of mark lies in the stack is kept beside it.
+    """
+    stack: list[tuple[str, int, bool]] = []
+    lies: dict[str, list[int]] = {}
+    low = 0  # open German quotes, which “ closes
+    blank: list[int] | None = None
     out: dict[int, int] = {}
     for m in _PAIR.finditer(text):
         ch, i = m.group(), m.start()
         if ch == '"':
-            if stack and any(c == '"' for c, _ in stack) and not (i == 0 or text[i - 1].isspace()):
-                want = '"'
-            else:
-                stack.append(('"', i))
-                continue
-        elif ch == "“" and any(c == "“" and text[j] == "„" for c, j in stack):
-            want = "“"
-        elif ch in OPEN:
-            stack.append((OPEN[ch], i))
-            continue
-        else:
+            want = ch if lies.get(ch) and not (i == 0 or text[i - 1].isspace()) else None
+        elif ch == "“" and low:
             want = ch
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == want:
-                j = stack[k][1]
-                if "\n\n" not in text[j:i]:
-                    out[j] = i
-                del stack[k:]
-                break
+        else:
+            want = None if ch in OPEN else ch
+        if want is None:
+            closer = OPEN.get(ch, ch)
+            lies.setdefault(closer, []).append(len(stack))
+            stack.append((closer, i, ch == "„"))
+            low += ch == "„"
+            continue
+        if not lies.get(want):
+            continue
+        k = lies[want][-1]
+        j = stack[k][1]
+        if blank is None:
+            blank = [x.start() for x in re.finditer("\n(?=\n)", text)]
+        at = bisect_left(blank, j)
+        if at == len(blank) or blank[at] > i - 2:
+            out[j] = i
+        while len(stack) > k:
+            closer, _, german = stack.pop()
+            lies[closer].pop()
+            low -= german
     return out
 
 
@@ -147,15 +167,19 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         start = _SPACE.match(text, max(end, start)).end()
 
     skip = begin
+    line = line0 = 0  # where the running line began, and the one that a break ends
+    run, run_stops = (0, 0), (0, 0)  # the last runs of terminators: where they began and end
+    token = (0, 0, -1)  # the last run without blanks: begin, end, its last @
+    link_at, small_at = -1, -1  # the first address or link of the token, and its first small letter
     m_enum = _ENUM.match(text, start)
     enum_end = m_enum.end() if m_enum else start
 
     for m in _EVENT.finditer(text, begin, stop):
         i, mark = m.start(), m.group()
-        if i < skip:
-            continue
         first = mark[0]
-        if i < start:
+        if first in "\n\x0c":
+            line0, line = line, i + 1
+        if i < skip or i < start:
             continue
         if i in pairs:
             depth += 1
@@ -195,20 +219,19 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         if depth:
             continue
         if first in "\n\x0c":
-            end = _SPACE.match(text, i).end()
-            if end >= stop:
-                break
-            line0 = max(text.rfind("\n", 0, i), text.rfind("\x0c", 0, i)) + 1
             here = text[max(line0, start) : i].strip()
             if not here or here[-1] in ",;:-–(«“„":
                 continue
+            end = _SPACE.match(text, i).end()
+            if end >= stop:
+                break
             blank = "\n" in text[i + 1 : end] or "\x0c" in text[i:end]
             nxt = text[end]
             opens = nxt.isupper() or nxt in "«“„\"¿¡「(" or nxt.isdigit() or not _LOWER_GOES_ON.match(nxt) or bool(_ENUM.match(text, end))
             at_line_start = _trimmed(text, line0, i)[0] >= start
             word = _WORD.match(text, end).group()
             fits = len(here) + 1 + len(word) <= widest
-            thai = "฀" <= nxt <= "๿"
+            thai = "฀" <= nxt <= "໿"
             if thai:
                 pass
             elif at_line_start and len(here) <= 60 and (here.isupper() and 3 < len(here) <= 45 and not re.search(r"\d", here) and (blank or not text[end : end + 30].isupper()) or _HEAD.match(here)) and (fits or blank):
@@ -232,10 +255,13 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             if not near or first == ";" and near < 10 or not (i + 1 >= stop or text[i + 1].isspace()):
                 continue
             cut(i + 1)
-        elif first in "।॥۔؟" or first in WIDE or first in "!?":
-            end = m.end()
-            while end < stop and (text[end] in TERMINATORS or end in closers):
-                end += 1
+        elif first in FULL_STOPS or first in WIDE or first in "!?":
+            if not run[0] <= i < run[1]:
+                end = m.end()
+                while end < stop and (text[end] in TERMINATORS or end in closers):
+                    end += 1
+                run = (i, end)
+            end = run[1]
             nxt = _SPACE.match(text, end).end()
             if nxt < stop:
                 if nxt == end and first in "!?" and not text[nxt].isupper() and text[nxt] not in "«“„¿¡\"(":
@@ -243,15 +269,19 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                 if first in "!?" and _LOWER_GOES_ON.match(text[nxt]):
                     continue
             cut(end)
-        else:
-            # Periods and omissions.
+        elif first not in OPEN:
+            # Periods, omissions, and closing marks without a partner, which a terminator may stand before.
             end = m.end()
             if mark == "." and i > 0 and i + 1 < len(text) and text[i - 1].isdigit() and text[i + 1].isdigit():
                 continue
             if i < enum_end:
                 continue
-            while end < stop and (text[end] in "!?.…" or end in closers):
-                end += 1
+            if run_stops[0] <= i < run_stops[1]:
+                end = run_stops[1]
+            else:
+                while end < stop and (text[end] in "!?.…" or end in closers):
+                    end += 1
+                run_stops = (i, end)
             nxt = _SPACE.match(text, end).end()
             if nxt >= stop:
                 cut(stop)
@@ -266,23 +296,35 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                 # No space: only a word or number before and a new capitalised word after.
                 if not capital or text[i - 1].isspace() or not (text[i - 1].isalnum() or text[i - 1] in "%€)»”\"°"):
                     continue
-                a = max(text.rfind(" ", start, i), text.rfind("\n", start, i)) + 1
-                token = text[max(a, start) : i]
-                after = _WORD.match(text, nxt).group()
-                if "@" in after and not after.startswith(("«", "“", "(")):
+                if not token[0] <= i < token[1]:
+                    a = i
+                    while a > 0 and not text[a - 1].isspace():
+                        a -= 1
+                    b = _WORD.match(text, i).end()
+                    token = (a, b, text.rfind("@", a, b))
+                    link_at = small_at = -1
+                a = max(token[0], start)
+                if token[2] >= nxt and not text.startswith(("«", "“", "("), nxt):
                     continue
-                if "@" in token or "://" in token or token.lower().startswith("www"):
-                    if not re.match(r"(?:[A-ZÀ-Þ][a-zà-ÿ]+|[A-ZÀ-Þ])[’' ,]?", after) or token.isupper():
+                if link_at < a:
+                    link_at = link.start() if (link := _LINK.search(text, a, token[1])) else token[1]
+                if small_at < a:
+                    small_at = small.start() if (small := _SMALL.search(text, a, token[1])) else token[1]
+                if link_at < i or text[a : a + 3].lower() == "www":
+                    if not _OPENING.match(text, nxt) or small_at >= i:
                         continue
-                tail = re.search(r"\w+$", token)
-                if tail and len(tail.group()) == 1 and tail.group().isalpha():
+                k = i
+                while k > a and (text[k - 1].isalnum() or text[k - 1] == "_"):
+                    k -= 1
+                tail = text[k:i]
+                if len(tail) == 1 and tail.isalpha():
                     continue
                 kind = _abbreviation(text, i, start)
                 if kind == "N" or kind == "M" and not re.match(r"[A-ZÀ-Þ][a-zà-ÿ’']", text[nxt : nxt + 2]):
                     continue
                 if follow.isupper() and nxt + 1 < stop and not (text[nxt + 1].islower() or text[nxt + 1] in "’' ") and not text[nxt : nxt + 3].isupper():
                     continue
-                if tail and tail.group().isupper() and tail.group().isalpha() and len(tail.group()) <= 2:
+                if tail.isupper() and tail.isalpha() and len(tail) <= 2:
                     continue
             else:
                 kind = _abbreviation(text, i, start)
@@ -305,6 +347,8 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                     if _LOWER_GOES_ON.match(follow) and not fresh:
                         continue
             cut(end)
+        else:
+            continue  # an opening mark without a partner
         m_enum = _ENUM.match(text, start)
         enum_end = m_enum.end() if m_enum else start
         skip = start

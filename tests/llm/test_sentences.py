@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,3 +70,18 @@ def test_frame(spark):
 def test_long_text():
     t = "Il giudice decide. " * 50_000
     assert len(spans(t)) == 50_000
+
+
+def test_other_terminators():
+    for text in ("ខ្ញុំទៅផ្ទះ។ គាត់មក។", "သူသွားသည်။ သူလာသည်။", "ሰላም ነው። እሱ መጣ።", "Բարեւ ձեզ։ Նա եկավ։"):
+        assert len(spans(text)) == 2, text
+
+
+def test_hostile_texts_take_linear_time():
+    n = 1_000_000
+    began = time.time()
+    for text in ("(" * (n // 2) + "]" * (n // 2), '("' * (n // 2), "A." * (n // 2), "www.a.B" * (n // 7), "!" * n + "a", "\n" * (n // 2) + "a\n" * (n // 4) + "b"):
+        t = time.time()
+        spans(text)
+        assert time.time() - t < 10
+    assert time.time() - began < 60
