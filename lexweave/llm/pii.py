@@ -8,13 +8,17 @@ that is most specific (email, document, address, telephone, name).
 
 Defined results: null, empty and blank texts hold nothing and come out unchanged; spans never overlap, count code
 points of the source and end after the last character; equal texts give equal spans; extra columns are ignored; a
-text of any length is read whole.
+text of any length is read whole, in time that grows with its length.
+
+Words that are Greek or Cyrillic throughout (four letters or more) are left as they are; everything else is flattened.
+Rules that look at a bounded part of the text: what introduces or excludes a number stands within 32 characters before
+it, a person who acts within 48 characters before the verb, a German street name has at most 80 characters.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +40,8 @@ _FLAT |= {0xFF01 + k: chr(0x21 + k) for k in range(94)}
 _FLAT |= {c: " " for c in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
 _FLAT |= {c: "-" for c in (0x2010, 0x2011, 0x2012, 0x2013)}
 _FLAT |= {0x2019: "'", 0x2018: "'", 0x00B4: "'", 0x0060: "'"}
-_GREEK_OR_CYRILLIC = re.compile(r"[Ͱ-ӿ]{4}")
+#: Whole words of another alphabet, which are no disguise.
+_FOREIGN = re.compile(r"((?<![^\W\d_])[\u0370-\u04ff]{4,}(?![^\W\d_]))")
 _DIGITS = {"zero": "0", "uno": "1", "due": "2", "tre": "3", "quattro": "4", "cinque": "5", "sei": "6", "sette": "7", "otto": "8", "nove": "9"}
 _DIGIT = "|".join(_DIGITS)
 _AT = r"\s*[(\[{<]\s*(?:at|chiocciola|et)\s*[)\]}>]\s*|\s+(?:chiocciola)\s+"
@@ -46,7 +51,7 @@ _DISGUISE = re.compile(
     rf"|(?P<digits>(?<![\w])(?:{_DIGIT})(?:[\s,.-]+(?:{_DIGIT})){{5,14}}(?!\w))|(?P<mixed>(?<=\d{3})[OoIl](?=\d{3}))",
     re.I,
 )
-_HINTS = ("chiocc", "[at", "(at", "{at", "<at", "[ at", "( at", "[dot", "(dot", "[ dot", "( dot", "punto]", "punto)", "punto ]", "punto )", "(et)")
+_HINT = re.compile(r"[(\[{<]\s*(?:at|chiocciola|et|dot|punto)\s*[)\]}>]|chiocciola", re.I)
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]|\d{3}[OoIl]\d{3}")
 #: Anything but the characters that need no translation.
 _ODD = re.compile(r"[^\n\x20-\x5f\x61-\x7e\xa1-\xb3\xb5-\xff’‘“”«»„…€]")
@@ -57,12 +62,12 @@ class Shadow:
 
     def __init__(self, text: str):
         if _ODD.search(text):
-            flat = text if _GREEK_OR_CYRILLIC.search(text) else text.translate(_FLAT)
+            flat = "".join(x if k % 2 else x.translate(_FLAT) for k, x in enumerate(_FOREIGN.split(text)))
         else:
             flat = text.replace("\n", " ").replace("’", "'")
         self.text, self.at, self.src = flat, [0], [0]
         low = flat.lower()
-        if not (any(x in low for x in _HINTS) or _HIDDEN.search(flat) or sum(map(low.count, _DIGITS)) > 5):
+        if not (_HINT.search(flat) or _HIDDEN.search(flat) or sum(map(low.count, _DIGITS)) > 5):
             return
         parts, end, size = [], 0, 0
         for m in _DISGUISE.finditer(flat):
@@ -100,10 +105,28 @@ class Shadow:
 # ---------------------------------------------------------------- the recognisers
 
 _LABEL = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?|[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?)"
-_EMAIL = re.compile(rf"[\w][\w.+'-]*@(?:{_LABEL}\.)+(?:[a-z]{{2,}}|[A-Z]{{2,}})(?![\w@])|[\w][\w.+'-]*@(?:{_LABEL}\.)+(?:[a-z]{{2,}}|[A-Z]{{2,}})(?=\.?[A-ZÀ-Þ][a-z])")
+#: What follows the name of an address: its sign and domain.
+_DOMAIN = re.compile(rf"@(?:{_LABEL}\.)+(?:[a-z]{{2,}}|[A-Z]{{2,}})(?![\w@])|@(?:{_LABEL}\.)+(?:[a-z]{{2,}}|[A-Z]{{2,}})(?=\.?[A-ZÀ-Þ][a-z])")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, from each sign outward; no run of letters without a sign is looked at."""
+    at, last = text.find("@"), 0
+    while at >= 0:
+        a, k = at, at
+        while k > last and (text[k - 1].isalnum() or text[k - 1] in "_.+'-"):
+            k -= 1
+            if text[k].isalnum() or text[k] == "_":
+                a = k
+        if a < at and (m := _DOMAIN.match(text, at)):
+            yield a, m.end()
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+
 
 _TAX = r"[A-Za-z]{3}\s?[A-Za-z]{3}\s?\d{2}[A-Za-z]\d{2}\s?[A-Za-z]\d{3}[A-Za-z]"
 _ID = re.compile(rf"(?<!\w)(?:{_TAX}|[A-Z]{{2}}\s?\d{{7}}|[A-Z]{{2}}\s?\d{{5}}\s?[A-Z]{{2}}|[A-Z]\d{{8}}[A-Z]|[A-Z]{{2}}\d{{7}}[A-Z])(?!\w)")
+_SSN = re.compile(r"(?i:\bssn|\bsocial\ssecurity)\W{0,4}(?i:(?:n|no|number)\W{0,3})?(\d{3}-\d{2}-\d{4})(?![\w-])")
 _ID_CUE = re.compile(r"(?i)(?:passap\w*|patente\w*|identit\w*|documento|c\.\s?i\.|carta)\W{0,3}(?:(?:n|nr|num|numero|rilasciat\w+)\W{0,3})*$")
 _NO_ID = re.compile(r"(?i)(?:iban|iva|p\.\s?iva|conto|prot|targa|lotto)\W{0,4}(?:n\W{0,3})?$")
 
@@ -115,6 +138,7 @@ _PHONE = re.compile(
     r"|3\d{2}[\s./-]\d{6,7}|3\d{8,9}"
     r"|0\d{1,3}\s?[/-]\s?\d{5,8}"
     r"|0\d{1,3}\s\d{3}\s?\d{3,4}"
+    r"|\(\d{3}\)\s?\d{3}-\d{4}|0[1-9](?:[ .]\d{2}){4}|\+(?!39)[1-9]\d{0,2}(?:[\s.-]?\(?\d{1,4}\)?)(?:[\s.-]?\d{2,4}){2,4}"
     r")(?![\w/-]|[.,]\d|\s?(?:€|euro|EUR))"
 )
 _NO_PHONE = re.compile(r"(?i)(?:prot|conto|iva|iban|cartella|fattura|sent|fasc|rif|r\.g|atto|codice|ric|bonifico|lotto)\W{0,4}(?:(?:n|nr)\W{0,3})?$|(?:€|eur|euro)\s?$|(?:\bn|\bnr|n°)\W{0,2}$")
@@ -124,7 +148,7 @@ _TOWN = rf"[{_U}][\w']+(?:\s(?:di|del|della|dei|sul|sulla|in|al|d')\s?[{_U}][{_L
 _STREET = (
     rf"(?:(?i:v\.?\s?le|viale|via|c\.?so|corso|p\.?zza|piazza(?:le|tta)?|largo|vicolo|strada|contrada|c\.da|lungomare|borgo|salita|vico|traversa|galleria|l\.go|str\.)\s+"
     rf"(?:\d{{1,2}}\s)?(?:(?i:del|della|delle|degli|dei|dello|dell'|di|de|d')\s?)?[{_U}][\w']+(?:\s(?:(?i:del|della|delle|degli|dei|di|da|e)\s)?[{_U}][{_L}'\w]*\.?){{0,4}}"
-    rf"|[{_U}][\w-]+(?i:straße|strasse|gasse|weg|platz|allee|ring|ufer)|[{_U}][\w-]+(?i:\s(?:straße|strasse|street|road|lane|avenue)))"
+    rf"|[{_U}][\w-]{{1,80}}(?i:straße|strasse|gasse|weg|platz|allee|ring|ufer)|[{_U}][\w-]{{1,80}}(?i:\s(?:straße|strasse|street|road|lane|avenue)))"
 )
 _ADDRESS = re.compile(
     rf"(?<![\w@.])(?:{_STREET})"
@@ -132,7 +156,14 @@ _ADDRESS = re.compile(
     rf"(?:\s?,\s*(?i:scala|sc\.|int\.|interno|piano|appartamento|app\.|lotto|pal\.)\s?\w{{1,4}}(?!\w))*"
     rf"(?:(?:\s?,|\s?-)?\s*\d{{5}}\s+{_TOWN}(?:\s?\([A-Z]{{2}}\))?|\s+-\s+{_TOWN}(?:\s?\([A-Z]{{2}}\))?|\s?,\s{_TOWN}\s?\([A-Z]{{2}}\))?"
 )
+#: Addresses that begin with the number of the house.
+_NUMBER_FIRST = re.compile(
+    rf"(?<![\w.,/-])\d{{1,5}}(?:\s?(?:bis|ter))?,?\s+(?:(?i:rue|avenue|boulevard|chemin|quai|impasse)\s+(?:(?:de|du|des|la|le|les|l'|d')\s?){{0,2}}[{_U}][\w'-]{{1,40}}(?:\s(?:(?:de|du|des|la)\s)?[{_U}][\w'-]{{1,40}}){{0,3}}"
+    rf"|[{_U}][{_L}]{{2,40}}(?:\s[{_U}][{_L}]{{2,40}}){{0,2}}\s(?:Street|Road|Lane|Avenue|Drive|Square))(?:\s?,\s*(?:\d{{5}}\s+)?{_TOWN})?(?!\w)"
+)
 
+#: Given names common in England, France, Germany and Spain (fixed values).
+ABROAD = "john james robert michael william david richard charles george mary elizabeth susan margaret sarah emily jean pierre jacques françois philippe claire sophie isabelle hans klaus jürgen wolfgang peter heinrich ingrid ursula josé juan carlos miguel manuel carmen isabel"
 #: Given names and pet forms common in Italy (fixed values).
 GIVEN = """
 maria teresa|pier paolo|alessandra|alessandro|alessia|alessio|alfredo|alice|andrea|angela|angelo|anna|antonella|antonia|antonietta|antonino|antonio|arturo|aurora|
@@ -143,7 +174,7 @@ marcello|marco|margherita|maria|mario|marta|martina|massimo|matteo|maurizio|mich
 salvatore|sandra|sandro|sara|serena|sergio|silvia|simona|simone|sofia|stefania|stefano|tancredi|teresa|tommaso|ubaldo|umberto|valentina|valeria|vincenza|vincenzo|vittoria|vittorio|zoè|zoe|
 ale|betta|cate|lella|lele|mena|nanni|nico|tina|tonio|tonia|tonino|turi|pierpa|ila|nice|enzo|beppe|pino|gigi|rino|titti|lina|peppe|ciccio|dino|gino|totò|toni|franci|cetta|concettina|enza|lollo|lori|micky|miche|rosy|sal|vale|vince|bice|ninni|nina|nino|memo|mimmo|chicca|chicco|fede|gio|gianna|giusi|peppina|pina|rugge|tano|ubi|uba
 """.replace("\n", "")
-_GIVEN = "(?i:" + "|".join(sorted(GIVEN.split("|"), key=len, reverse=True)).replace(" ", r"\s+") + ")'?"
+_GIVEN = "(?i:" + "|".join(sorted(GIVEN.split("|") + ABROAD.split(), key=len, reverse=True)).replace(" ", r"\s+") + ")'?"
 _FAMILY = rf"(?:(?:De|Di|Del|Della|D')\s?)?(?:[{_U}][{_L}]{{2,}}(?:['-][{_U}]?[{_L}]+)?|[{_U}]{{3,}})"
 _INITIAL = rf"[{_U}]\."
 _LOWER = rf"[{_L}]{{4,}}"
@@ -185,20 +216,21 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: What a word may begin: a cue to a name, an address, a given name, an act of a person.
 _CUE_WORDS = "sig signor signora signore avv avvocato dott dottor dottoressa dottore prof ing arch geom rag on teste ricorrente comparso comparsa esibito esibita ha affidata affidato contattare digitalmente eredi tra"
 _STREET_WORDS = "v viale via c corso p piazza piazzale piazzetta largo vicolo strada contrada lungomare borgo salita vico traversa galleria l str vle cso pzza"
+_NUMBERED = "rue avenue boulevard chemin quai impasse street road lane drive square".split()
 _TABLE: dict[str, int] = {}
-for _bit, _words in ((1, _CUE_WORDS.split()), (2, _STREET_WORDS.split()), (4, [g.split()[0] for g in GIVEN.split("|")]), (8, ["ha", "aveva", "è"])):
+for _bit, _words in ((1, _CUE_WORDS.split()), (2, _STREET_WORDS.split()), (4, [g.split()[0] for g in GIVEN.split("|") + ABROAD.split()]), (8, ["ha", "aveva", "è"]), (16, _NUMBERED)):
     for _w in _words:
         _TABLE[_w] = _TABLE.get(_w, 0) | _bit
 _GERMAN = ("straße", "strasse", "gasse", "weg", "platz", "allee", "ring", "ufer", "street", "road")
 
 
-def _anchors(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Places where a cue, an address, a given name (with the word before it) or an act may stand."""
+def _anchors(text: str) -> tuple[list[int], list[int], list[int], list[int], bool]:
+    """Places where a cue, an address, a given name (with the word before it) or an act may stand; whether a street is named the other way round."""
     cues: list[int] = []
     streets: list[int] = []
     given: list[int] = []
     acts: list[int] = []
-    before = -1
+    before, numbered = -1, False
     get = _TABLE.get
     for m in _WORD.finditer(text):
         w = m.group().lower()
@@ -214,12 +246,13 @@ def _anchors(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
                 given.append(m.start())
             if bits & 8:
                 acts.append(m.start())
+            numbered |= bits > 15
         elif len(w) > 6 and w.endswith(_GERMAN):
             streets.append(m.start())
             if before >= 0:
                 streets.append(before)
         before = m.start()
-    return cues, streets, given, acts
+    return cues, streets, given, acts, numbered
 
 
 def _names(text: str, taken: list[tuple[int, int, str]], cues: list[int], given: list[int], acts: list[int]) -> Iterator[tuple[int, int]]:
@@ -253,6 +286,9 @@ def _names(text: str, taken: list[tuple[int, int, str]], cues: list[int], given:
             yield got
     for at in acts:
         low = max(0, at - 48)
+        # a person who acts has a capital or a listed given name
+        if text[low:at].islower() and bisect_right(given, at) == bisect_right(given, low - 1):
+            continue
         m = _ACTS.search(text, low, min(len(text), at + 8))
         if m and text[m.end() : at].isspace():
             short = m.group(1).split(".")[0]
@@ -276,29 +312,39 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         return []
     shadow = Shadow(text)
     t = shadow.text
-    got: list[tuple[int, int, str]] = []
+    got: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in got)
+        k = bisect_right(got, (a, b, "~"))
+        return (not k or got[k - 1][1] <= a) and (k == len(got) or got[k][0] >= b)
+
+    def take(a: int, b: int, kind: str) -> None:
+        insort(got, (a, b, kind))
 
-    if "@" in t:
-        got += [(m.start(), m.end(), "EMAIL") for m in _EMAIL.finditer(t)]
+    for a, b in _emails(t):
+        take(a, b, "EMAIL")
     for m in _ID.finditer(t):
         tax = len(re.sub(r"\s", "", m.group())) == 16
         before = t[max(0, m.start() - 32) : m.start()]
         if (tax or _ID_CUE.search(before) or not _NO_ID.search(before)) and free(*m.span()):
-            got.append((*m.span(), "ID"))
-    cues, streets, given, acts = _anchors(t)
+            take(*m.span(), "ID")
+    for m in _SSN.finditer(t) if "-" in t else ():
+        if free(*m.span(1)):
+            take(*m.span(1), "ID")
+    cues, streets, given, acts, numbered = _anchors(t)
+    for m in _NUMBER_FIRST.finditer(t) if numbered else ():
+        if free(*m.span()):
+            take(*m.span(), "ADDRESS")
     for at in streets:
         m = _ADDRESS.match(t, at)
         if m and free(*m.span()) and not (m.group().isupper() and not re.search(r"\d{5}", m.group())):
-            got.append((*m.span(), "ADDRESS"))
+            take(*m.span(), "ADDRESS")
     for m in _PHONE.finditer(t):
         if 8 <= sum(c.isdigit() for c in m.group()) <= 14 and free(*m.span()) and not _NO_PHONE.search(t[max(0, m.start() - 16) : m.start()]):
-            got.append((*m.span(), "PHONE"))
-    for a, b in _names(t, got, cues, given, acts):
+            take(*m.span(), "PHONE")
+    for a, b in _names(t, list(got), cues, given, acts):
         if free(a, b):
-            got.append((a, b, "NAME"))
+            take(a, b, "NAME")
     return sorted((*shadow.back(a, b), k) for a, b, k in got)
 
 

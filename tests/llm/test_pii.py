@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +58,27 @@ def test_frame(spark):
 def test_long_text():
     t = "Abita in via Po n. 3, 00914 Olbra. " * 20_000
     assert len(find(t)) == 20_000
+
+
+def found(text):
+    return [(text[a:b], k) for a, b, k in find(text)]
+
+
+def test_other_alphabets_do_not_hide_disguises():
+    assert found("ＭＡＲＩＯ＠ＰＯＳＴＡ．ＩＴ è qui λόγος") == [("ＭＡＲＩＯ＠ＰＯＳＴＡ．ＩＴ", "EMAIL")]
+    assert found("λόγος: mario {dot} rossi <et> posta <punto> it") == [("mario {dot} rossi <et> posta <punto> it", "EMAIL")]
+    assert found("суд принял решение") == []
+
+
+def test_other_countries():
+    got = found("Call John Smith at 12 Baker Street, phone (415) 555-2671, SSN 123-45-6789")
+    assert got == [("John Smith", "NAME"), ("12 Baker Street", "ADDRESS"), ("(415) 555-2671", "PHONE"), ("123-45-6789", "ID")]
+    assert found("Jean Dupont, 12 rue de la Paix, 06 12 34 56 78") == [("Jean Dupont", "NAME"), ("12 rue de la Paix", "ADDRESS"), ("06 12 34 56 78", "PHONE")]
+
+
+def test_hostile_texts_take_linear_time():
+    n = 1_000_000
+    for text, items in (("a" * n + " m@posta.it", 1), ("a" * n + "@posta.it", 1), ("m@" + "a." * (n // 2), 0), ("AB1234567 " * (n // 10), n // 10), ("@" * n, 0)):
+        began = time.time()
+        assert len(find(text)) == items
+        assert time.time() - began < 10
