@@ -10,6 +10,9 @@ fewer function words and figures) beyond ``along``.
 
 The only values sent to the driver are per language: at most languages x features^2 numbers.
 
+Tokens are what blanks part; scripts written without blanks are cut into pairs of characters, and unspaced lists at
+their commas and bars. The language of a text is told from all its characters and words.
+
 Defined results: null, empty and blank texts and texts of fewer than ``LEAST`` tokens are never spam; a text
 whose language cannot be told is held against the most frequent one (the declared one, often wrong, only settles
 near ties); languages with few documents lean on
@@ -47,20 +50,51 @@ FUNCTION_WORDS = {
     "fr": "le la les l un une des de du d à au aux en dans sur par pour avec et ou mais si que qui ne pas n est a été il elle se ce cette au selon depuis était",
     "de": "der die das den dem des ein eine einer und oder in im an am auf bis von vom zu zum zur mit für ist hat wird wer wenn doch unter auf nicht ab nach sich noch seit",
     "es": "el la los las un una de del a al en con por para y o pero si que no es se su sobre desde lo como más le fue ha debe",
+    "pt": "o a os as um uma de do da dos das em no na nos nas por pelo pela para com e ou mas se que não é foi são ao à aos às seu sua como mais ser está",
+    "nl": "de het een van in op te en of maar dat die niet is was zijn aan met voor door bij naar om uit ook als dan wordt heeft over",
+    "el": "ο η το οι τα του της των τον την στο στη στην στον και ή να με για από που δεν είναι σε ότι ως κατά αλλά θα",
+    "ru": "и в во не на что с со как по из к ко у за от о об для но или а же это его её их он она был была было были при",
+    "ar": "في من على إلى عن أن إن لا ما هذا هذه التي الذي و أو مع كان كانت قد بعد قبل بين كل ثم لم",
+    "hi": "का के की में से को और या है हैं था थे थी ने पर यह वह कि नहीं एक इस उस भी तो ही लिए द्वारा जो",
 }
+#: Frequent characters and words of scripts without blanks (fixed values).
+UNSPACED_WORDS = {"zh": "的 了 是 在 和 与 不 也 有 其 及 为 對 对 以 之", "ja": "の は を に が と で も た て し な る い", "th": "ที่ และ ใน ของ เป็น การ ให้ ได้ ว่า ไม่ มี จาก"}
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_RUNS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{1,4}|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{1,2}|[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff、，。；|]+")
+_COMMON = {k: re.compile("|".join(v.split())) for k, v in UNSPACED_WORDS.items()}
+#: A list written without blanks: three items or more between commas, bars or semicolons.
+_TIGHT = re.compile(r"(?:[^\s,;|]+[,;|]){3,}")
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _FIGURE = re.compile(r"(?<!\S)[^\s\d]*\d")
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"(?i)https?:|www\.|href=|</?a\b|\]\(|\w\.(?:[a-z]{2,10})/|^#\w")
 _RUN = re.compile(r"^[#;,\s]*[^\W\d_]{13,}[;,]?$|[a-zà-ÿ][A-ZÀ-Þ][a-zà-ÿ]")
-_SCRIPTS = (("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("zh", "一", "鿿"), ("ja", "぀", "ヿ"), ("ru", "Ѐ", "ӿ"))
+_SCRIPTS = {"ru": "[\u0400-\u04ff]+", "ja": "[\u3040-\u30ff]+", "zh": "[\u4e00-\u9fff]+", "th": "[\u0e00-\u0e7f]+", "hi": "[\u0900-\u097f]+", "ar": "[\u0600-\u06ff]+", "el": "[\u0370-\u03ff]+"}
+_SCRIPTS = {k: re.compile(v) for k, v in _SCRIPTS.items()}
+_BEYOND = re.compile(r"[\u0370-\u109f\u1780-\u17ff\u3040-\u9fff]")
+
+
+def _tokens(text: str) -> list[str]:
+    """What blanks part; scripts without blanks in pairs of characters, unspaced lists by item."""
+    unspaced = _UNSPACED.search(text) is not None
+    if not unspaced and not _TIGHT.search(text):
+        return text.split()
+    out = []
+    for t in text.split():
+        if unspaced and _UNSPACED.search(t):
+            out += _RUNS.findall(t)
+        elif _TIGHT.search(t) and "://" not in t and "href" not in t:
+            out += [x for x in re.split(r"[,;|]", t) if x]
+        else:
+            out.append(t)
+    return out
 
 
 def _language(words: list[str], text: str, declared: str | None) -> str:
-    sample = [c for c in text if c.isalpha()] if len(text) < 400 else [c for c in text[:: max(1, len(text) // 400)] if c.isalpha()]
-    if sample:
-        for lang, a, b in reversed(_SCRIPTS):
-            if sum(a <= c <= b for c in sample) > 0.3 * len(sample):
+    if _BEYOND.search(text):
+        letters = sum(map(len, _WORD.findall(text)))
+        for lang, runs in _SCRIPTS.items():
+            if sum(map(len, runs.findall(text))) > 0.3 * letters:
                 return lang
     n = Counter(words)
     share = {k: sum(n[w] for w in s) for k, s in _SETS.items()}
@@ -72,7 +106,7 @@ def _language(words: list[str], text: str, declared: str | None) -> str:
 
 def features(text: str | None, declared: str | None = None) -> tuple[str, tuple[float, ...]] | None:
     """Detected language ('' if unknown) and the medians over the windows, None for texts too short to judge."""
-    tokens = (text or "").split()
+    tokens = _tokens(text or "")
     if len(tokens) < LEAST:
         return None
     windows = max(1, round(len(tokens) / WINDOW))
@@ -82,10 +116,11 @@ def features(text: str | None, declared: str | None = None) -> tuple[str, tuple[
     lang = _language(words[0] if windows == 1 else [w for ws in words for w in ws], text, declared)
     function = _SETS.get(lang) or _SETS["it"]
     known = lang in _SETS or lang == ""
+    common = _COMMON.get(lang)
     cols: tuple[list[float], ...] = ([], [], [], [], [])
     for toks, ws in zip(parts, words):
         n, m = len(toks), max(1, len(ws))
-        content = [w for w in ws if len(w) > 3]
+        content = toks if common else [w for w in ws if len(w) > 3]
         c = len(content)
         repeats, entropy = 0.0, 1.0
         if c > 4:
@@ -94,7 +129,12 @@ def features(text: str | None, declared: str | None = None) -> tuple[str, tuple[
             if repeats:
                 entropy = 1 - sum([v * log(v) for v in counts.values() if v > 1]) / (c * log(c))
         link = sum([1 for t in toks if (len(t) > 8 or t[0] == "#" or "<" in t) and (_LINK.search(t) or _RUN.search(t))])
-        values = (link / n, repeats, entropy, len([1 for w in ws if w in function]) / m if known else 0.3, len(_FIGURE.findall(" ".join(toks))) / n)
+        if common:
+            joined = "".join(toks)
+            usual = sum(map(len, common.findall(joined))) / max(1, len(joined))
+        else:
+            usual = len([1 for w in ws if w in function]) / m if known else 0.3
+        values = (link / n, repeats, entropy, usual, len(_FIGURE.findall(" ".join(toks))) / n)
         for col, v in zip(cols, values):
             col.append(v)
     if windows == 1:

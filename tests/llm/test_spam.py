@@ -41,3 +41,16 @@ def test_majority_of_windows_decides():
     rnd = random.Random(2)
     mostly = prose(rnd, 500) + " " + " ".join("#x" for _ in range(100))
     assert spam.features(mostly)[1][0] < 0.1 < 0.9 < spam.features(" ".join("#x" for _ in range(300)) + " " + prose(rnd, 100))[1][0]
+
+
+def test_scripts_without_blanks_are_judged():
+    prose = "证人在法庭上说合同无效，鉴定人估计损失并提交报告，公司自去年起欠款，法院驳回请求，费用由原告承担。"
+    stuffed = "免费律师|贷款|房产|咨询|合同|离婚|" * 12
+    for text, repeats in ((prose, False), (stuffed, True), ("รับซื้อ|ที่ดิน|ราคา|" * 15, True)):
+        lang, f = spam.features(text)
+        assert lang in ("zh", "th") and (f[1] > 0.7) == repeats
+    tight = "scarpe,borse,orologi,occhiali,cinture,cappelli,guanti,sciarpe," * 4
+    assert spam.features(tight)[1][1] > 0.5
+    assert spam.features("o réu não pagou a dívida que é de uma das partes do contrato e o juiz não aceitou o pedido")[0] == "pt"
+    # the script is told from all characters
+    assert spam.features("суд принял решение по делу " * 200 + "x" * 400)[0] == "ru"
