@@ -64,6 +64,7 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _article_lines(lines: Column) -> Column:
     """An article: number line, title line, then the numbered parts, each after an empty line."""
     head = F.element_at(lines, 1)
+    # the form of a number line (fixed value)
     pattern = rf"(?i)^Art\.*\s*(\d+(?:[-\s]?(?:{ORDINALS}))?(?:\s*\.\s*\d+)?)\s*(.*)$"
     number = F.regexp_extract(head, pattern, 1)
     number = F.regexp_replace(F.regexp_replace(number, rf"(?i)\s*({ORDINALS})", " $1"), r"\s*\.\s*", ".")
@@ -86,16 +87,21 @@ def _heading_lines(lines: Column) -> Column:
 def structured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (``id_col``, clean_text): paragraphs laid out by the section they stand in.
 
-    Each text is rebuilt from its own lines, so the groups are bounded by one text.
+    Each text is taken apart and put together again where it lies; nothing is exchanged.
     """
-    lines = lines_of(df, id_col, text_col).where(~F.col("blank"))
-    parts = lines.groupBy("id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.first("section").alias("section"))
-    body = F.transform("l", lambda x: x["line"])
-    laid = F.when(F.col("section").isNull(), body).when(F.col("section") == "ARTICOLO", _article_lines(body)).otherwise(_heading_lines(body))
-    whole = parts.select("id", "paragraph", F.array_join(laid, "\n").alias("t")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "t"))).alias("p"))
-    ids = df.select(F.col(id_col).alias("id"))
-    text = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
-    return ids.join(whole, "id", "left").select(F.col("id").alias(id_col), F.coalesce(text, F.lit("")).alias("clean_text"))
+    blank = lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) == ""
+    rows = df.select(F.col(id_col).alias("id"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("l"))
+    # paragraphs begin at blank lines and at headings
+    begins = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (i == 0) | blank(F.get("l", i)) | section_kind(F.get("l", i)).isNotNull())
+    rows = rows.select("id", "l", begins.alias("b"))
+    parts = F.transform("b", lambda i, k: F.filter(F.slice("l", i + 1, F.coalesce(F.get("b", k + 1), F.size("l")) - i), lambda s: ~blank(s)))
+    rows = rows.select("id", F.filter(parts, lambda p: F.size(p) > 0).alias("p"))
+    # the section of each paragraph as one letter, carried forward: a run is a letter and the paragraphs without one after it
+    letter = lambda p: F.when(section_kind(F.get(p, 0)) == "ARTICOLO", "A").when(section_kind(F.get(p, 0)).isNotNull(), "H").otherwise("_")
+    runs = F.regexp_extract_all(F.array_join(F.transform("p", letter), ""), F.lit("([AH]_*|_+)"), 1)
+    rows = rows.select("id", "p", F.flatten(F.transform(runs, lambda r: F.array_repeat(F.substring(r, 1, 1), F.length(r)))).alias("s"))
+    laid = F.zip_with("p", "s", lambda p, s: F.array_join(F.when(s == "A", _article_lines(p)).when(s == "H", _heading_lines(p)).otherwise(p), "\n"))
+    return rows.select(F.col("id").alias(id_col), F.array_join(laid, "\n").alias("clean_text"))
 
 
 def cleaned(df: DataFrame, id_col: str, text_col: str, keep_articles: bool = False) -> DataFrame:

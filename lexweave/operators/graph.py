@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
 from lexweave.functions import vectors as vec
+from lexweave.session import broadcast_few
 
 
 def upsert(new: DataFrame, keys: list[str], old: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
@@ -73,11 +74,15 @@ def with_neighbours(chunks: DataFrame, doc: str = "name", idx: str = "idx") -> D
 
 
 def neighbours_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """prev_chunks and next_chunks of a few hits by equality on (name, idx +- 1), for chains without gaps."""
-    near = chunks.select("name", "idx", F.col("text").alias("t"))
-    got = hits.select("chunk_id", "name", "idx").join(near.withColumn("idx", F.col("idx") + 1).withColumnRenamed("t", "p"), ["name", "idx"], "left")
-    got = got.join(near.withColumn("idx", F.col("idx") - 1).withColumnRenamed("t", "n"), ["name", "idx"], "left")
-    return got.groupBy("chunk_id").agg(F.array_sort(F.collect_set("p")).alias("prev_chunks"), F.array_sort(F.collect_set("n")).alias("next_chunks"))
+    """prev_chunks and next_chunks of a few hits by equality on (name, idx +- 1), for chains without gaps.
+
+    The two places beside each hit are broadcast, so the chunks are scanned once and not exchanged.
+    """
+    beside = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), (F.col("idx") + s).alias("idx")) for s in (-1, 1))))
+    places = broadcast_few(hits.select("chunk_id", "name", beside.alias("p")).select("chunk_id", "name", "p.side", "p.idx"))
+    got = chunks.select("name", "idx", F.col("text").alias("t")).join(places, ["name", "idx"])
+    on = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("t"))))
+    return got.groupBy("chunk_id").agg(on(-1).alias("prev_chunks"), on(1).alias("next_chunks"))
 
 
 def entities_of(has_entity: DataFrame, entities: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import vectors as vec
 from lexweave.operators import fulltext, graph
 from lexweave.schema import EMPTY_RELATED
-from lexweave.session import checkpointed
+from lexweave.session import broadcast_few, checkpointed
 
 CANDIDATES, LIMIT = 400, 5
 
@@ -34,20 +34,23 @@ def _shaped(g: Graph, hits: DataFrame, only_category: str | None = None) -> Data
     """
     hits = checkpointed(hits)
     entities = g.entities if only_category is None else g.entities.where(F.lower("label") == only_category.lower())
-    keys = hits.select("chunk_id")
-    ents = graph.entities_of(g.has_entity.join(F.broadcast(keys), "chunk_id", "left_semi"), entities)
-    related = g.related.withColumnRenamed("src_id", "chunk_id").join(F.broadcast(keys), "chunk_id", "left_semi")
+    keys = broadcast_few(hits.select("chunk_id"))
+    ents = graph.entities_of(entities, broadcast_few(g.has_entity.join(keys, "chunk_id", "left_semi").select("entity_id", "chunk_id")))
+    related = g.related.withColumnRenamed("src_id", "chunk_id").join(keys, "chunk_id", "left_semi")
     if g.nodes is not None:
         # contents only, each once, with what they say
         target = g.nodes.where("label = 'contenuto'").select(F.col("node_id").alias("dst_id"), F.coalesce("contenuto", F.lit("")).alias("said"))
-        related = related.join(target, "dst_id").select("chunk_id", "dst_id", F.col("said").alias("text"))
+        related = target.join(broadcast_few(related.select("dst_id", "chunk_id")), "dst_id").select("chunk_id", "dst_id", F.col("said").alias("text"))
     related = related.where("text IS NOT NULL").groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("dst_id", "text"))).alias("r"))
-    near = graph.neighbours_of(hits, g.chunks.select("name", "idx", "text"))
+    # one row at most for each hit
+    near, ents, related = (F.broadcast(x) for x in (graph.neighbours_of(hits, g.chunks.select("name", "idx", "text")), ents, related))
+    alone = F.array().cast("array<string>")
     none = F.array().cast("array<struct<text:string,label:string>>")
     return (
         hits.join(near, "chunk_id", "left").join(ents, "chunk_id", "left").join(related, "chunk_id", "left")
         .select(
-            "text", "chunk_id", F.col("score").alias("similarity"), F.col("name").alias("source"), "prev_chunks", "next_chunks",
+            "text", "chunk_id", F.col("score").alias("similarity"), F.col("name").alias("source"),
+            *(F.coalesce(c, alone).alias(c) for c in ("prev_chunks", "next_chunks")),
             F.coalesce("entities", none).alias("entities"),
             F.coalesce(F.transform("r", lambda x: F.struct(x["text"].alias("text"))), F.array().cast("array<struct<text:string>>")).alias("related"),
         )

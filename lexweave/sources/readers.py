@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +87,13 @@ def write_statutes(cleaned: DataFrame, folder: str, suffix: str = "_pulito") ->
 
 def read_commentary(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of the *.jsonl files: (file, line_no, article_number, text); lines that are no JSON are error rows."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
-    lines = lines.select(basename(F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    # files are read by line, large ones in blocks; a line's number is its place in the block and the lines of the blocks before
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("lines")
+    lines = raw.join(blocks, ["path", "block"]).select(basename(F.col("path")).alias("file"), (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("line_no"), "line").where(F.trim("line") != "")
     parsed = lines.withColumn("j", F.from_json("line", RELATED_JSONL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("j._corrupt_record").isNotNull() | F.col("j").isNull()
     good = parsed.where(~bad).select("file", "line_no", "j.article_number", "j.text").where("article_number IS NOT NULL AND text IS NOT NULL AND text <> ''")
