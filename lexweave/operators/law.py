@@ -41,6 +41,31 @@ def best_document(documents: DataFrame, name: str, threshold: float = THRESHOLD)
     return s.where(F.col("score") > threshold).orderBy(F.desc("score"), "kb_id").limit(1)
 
 
+def best_documents(names: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``best_document`` for all of names(name) at once: rows (name, kb_id, score), ties by id.
+
+    A name and the laws that may hold it meet at its rarest term; the phrase is then looked for in these only.
+    """
+    from lexweave.functions.text import tokens
+
+    held = checkpointed(documents.where("nome_legge IS NOT NULL").select("kb_id", tokens(F.col("nome_legge")).alias("w")))
+    stats = held.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("average"))
+    each = held.select("kb_id", F.explode(F.array_distinct("w")).alias("term"))
+    weight = each.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(stats))  # a single row
+    weight = weight.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = names.select("name").distinct().select("name", tokens(F.col("name")).alias("q")).where(F.size("q") > 0)
+    # a name with a term that no law has is in none
+    terms = asked.select("name", "q", F.explode(F.array_distinct("q")).alias("term")).join(weight, "term", "left")
+    asked = terms.groupBy("name", "q").agg(F.min(F.struct("df", "term")).alias("rarest"), F.sum("idf").alias("idf"), F.max(F.col("df").isNull()).alias("unknown")).where("NOT unknown")
+    met = asked.select("name", "q", "idf", F.col("rarest.term").alias("term")).join(each, "term").join(held, "kb_id").crossJoin(F.broadcast(stats))
+    m = F.size("q")
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - m + 1)), lambda i: F.slice("w", i, m) == F.col("q"))
+    met = met.withColumn("tf", F.size(at).cast("double")).where("tf > 0")
+    score = F.col("idf") * F.col("tf") / (F.col("tf") + fulltext.K1 * (F.lit(1 - fulltext.B) + fulltext.B * F.size("w") / F.col("average")))
+    best = met.withColumn("score", score).where(F.col("score") > threshold).groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "kb_id")).alias("b"))
+    return best.select("name", "b.kb_id", (-F.col("b.s")).alias("score"))
+
+
 def resolve(citations: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """citations(doc_key, number) joined with documents(doc_key, kb_id) and their articles at once.
 

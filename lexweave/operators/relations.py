@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import checkpointed
+
 #: What the SQL twin of the mentions reads: a part of the forms below (fixed values).
 PLAIN = r"(?:articolo|art\.)\s+[0-9]+(?:-bis)?|L\.\s+[0-9]+/[0-9]{4}|d\.lgs\.\s+n\.\s+[0-9]+\s+del\s+[0-9]{4}|codice della navigazione (?:fluviale|lacustre)"
 
@@ -26,13 +31,15 @@ CODES = {
     "codice civile": r"c\.\s?c\.|cod\.\s?civ\.|codice\s+civile", "codice penale": r"c\.\s?p\.|cod\.\s?pen\.|codice\s+penale",
     "codice della navigazione fluviale": r"codice\s+della\s+navigazione\s+fluviale", "codice della navigazione lacustre": r"codice\s+della\s+navigazione\s+lacustre",
 }
+#: Any other code by its name, one noun long.
+CODE = r"codice\s+(?:dell['’]\s?|(?:del|dello|della|dei|degli|delle)\s+)\p{L}+"
 _DATE = r"[0-9]{1,2}°?\s+\p{L}+\.?\s+|[0-9]{1,2}[./-][0-9]{1,2}[./-]"
 #: (number, year) of an act after its kind, or (year, number).
 _DATED = [rf"(?:n\.?\s*)?([0-9]+)\s*[/-]\s*([0-9]{{4}})(?![0-9])", rf"n\.?\s*([0-9]+)\s+(?:del\s+)?(?:{_DATE})?([0-9]{{4}})(?![0-9])"]
 _LAST = rf"(?:del\s+)?(?:{_DATE})([0-9]{{4}})\s*,?\s*n\.?\s*([0-9]+)"
 _ACT = rf"(?:{'|'.join(ACTS.values())})\s*(?:{'|'.join([*_DATED, _LAST])})"
 #: What counts as a citation part in a text, letter case aside; a form inside a word or a longer abbreviation is none.
-MENTION = rf"(?i)(?<![\p{{L}}\p{{N}}.])(?:{_ARTICLES}|{_ACT}|(?:{'|'.join(CODES.values())}){_STOP})"
+MENTION = rf"(?i)(?<![\p{{L}}\p{{N}}.])(?:{_ARTICLES}|{_ACT}|(?:{'|'.join([*CODES.values(), CODE])}){_STOP})"
 
 
 def plain_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,7 +79,7 @@ def law_key(name: Column) -> Column:
     low = F.regexp_replace(F.trim(F.lower(name)), r"\s+", " ")
     # entered names may put the kind last or the year first
     low = F.regexp_replace(F.regexp_replace(low, r"^([0-9]+/[0-9]{4}) \((.+)\)$", "$2 $1"), r"^([0-9]{4}), (.+?) n\. ?([0-9]+)$", "$2 $3/$1")
-    key = F.lit(None).cast("string")
+    key = F.when(low.rlike(f"^(?:{CODE})$"), low)
     for code, forms in CODES.items():
         key = F.when(low.rlike(f"^(?:{forms})$"), code).otherwise(key)
     for kind, forms in ACTS.items():
@@ -95,25 +102,62 @@ def relation_counts(edges: DataFrame, src: str = "src_id", dst: str = "dst_id")
     return edges.agg(F.sum(F.when(F.col(src) == F.col(dst), 1).otherwise(2)).cast("bigint").alias("undirected"), F.count(F.lit(1)).alias("directed"))
 
 
-def cited(nodes: DataFrame) -> DataFrame:
+#: What finds the mentions of a table of texts: (df, id_col, text_col) -> (id_col, pos, label, value).
+Recogniser = Callable[[DataFrame, str, str], DataFrame]
+
+
+def recogniser(provider: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]]) -> Recogniser:
+    """A recogniser of mentions from a model: ``provider`` makes it once a task, it takes texts and gives the (label, value) of each in order."""
+
+    def find(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        @F.pandas_udf("array<struct<label:string,value:string>>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = provider()
+            for s in batches:
+                yield pd.Series([[{"label": a, "value": b} for a, b in found] for found in recognised(model, [x if isinstance(x, str) else "" for x in s])])
+
+        return df.select(id_col, F.posexplode(run(F.col(text_col))).alias("pos", "m")).select(id_col, "pos", "m.label", "m.value")
+
+    return find
+
+
+def recognised(model: Callable[[list[str]], list[list[tuple[str, str]]]], texts: list[str]) -> list[list[tuple[str, str]]]:
+    """The mentions of a batch of texts; no texts, no mentions, and the model is not asked."""
+    return model(texts) if texts else []
+
+
+def cited(nodes: DataFrame, find: Recogniser = mentions) -> DataFrame:
     """Rows (node_id, pos, doc, article) of the citations in the contents."""
-    return pair(mentions(nodes.where("label = 'contenuto' AND trim(contenuto) <> ''"), "node_id", "contenuto"), "node_id", ["pos"])
+    return pair(find(nodes.where("label = 'contenuto' AND trim(contenuto) <> ''"), "node_id", "contenuto"), "node_id", ["pos"])
+
 
+def resolution(nodes: DataFrame, documents: DataFrame, find: Recogniser = mentions, by: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(pairs, resolved) of all citations in the contents: (node_id, doc_key, number) and, once for each (doc_key, number), its law and article or nulls.
 
-def resolution(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, resolved) of all citations in the contents: (node_id, doc_key, number) and, once for each (doc_key, number), its law and article or nulls."""
+    ``by`` key: laws meet under ``law_key``. ``by`` name: the law whose name holds the citation as a phrase, of the best
+    score above the threshold; the citation as written is then its key.
+    """
     from lexweave.operators import law
 
-    pairs = cited(nodes).select("node_id", law_key(F.col("doc")).alias("doc_key"), F.col("article").alias("number")).where("doc_key IS NOT NULL")
+    if by == "name":
+        pairs = cited(nodes, find).select("node_id", F.col("doc").alias("doc_key"), F.col("article").alias("number"))
+        pairs = checkpointed(pairs)
+        return pairs, law.resolve(pairs, law.best_documents(pairs.select(F.col("doc_key").alias("name")), documents).withColumnRenamed("name", "doc_key"), nodes)
+    pairs = cited(nodes, find).select("node_id", law_key(F.col("doc")).alias("doc_key"), F.col("article").alias("number")).where("doc_key IS NOT NULL")
     return pairs, law.resolve(pairs, documents.withColumn("doc_key", law_key(F.col("nome_legge"))), nodes)
 
 
-def cluster(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, counts) of all citations in the contents: mentions, pairs, one resolution of the distinct pairs, edges."""
-    pairs, resolved = resolution(nodes, documents)
+def cluster(nodes: DataFrame, documents: DataFrame, find: Recogniser = mentions, by: str = "key", undirected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(edges, counts) of all citations in the contents: mentions, pairs, one resolution of the distinct pairs, edges.
+
+    ``counts`` has, beside the edges counted from both ends and once, the accepted pairs. ``undirected`` keeps one edge for both directions.
+    """
+    pairs, resolved = resolution(nodes, documents, find, by)
     found = resolved.where("node_id IS NOT NULL").withColumnRenamed("node_id", "target")
-    edges = related_edges(pairs.join(found, ["doc_key", "number"]), "node_id", "target")
-    return edges, relation_counts(edges)
+    accepted = checkpointed(pairs.join(found, ["doc_key", "number"]).select("node_id", "target"))
+    ends = accepted.select(F.least("node_id", "target").alias("node_id"), F.greatest("node_id", "target").alias("target")) if undirected else accepted
+    edges = related_edges(ends, "node_id", "target")
+    return edges, relation_counts(edges).crossJoin(F.broadcast(accepted.agg(F.count(F.lit(1)).alias("accepted"))))  # single rows
 
 
 def intensional(commentary: DataFrame, nodes: DataFrame, documents: DataFrame, source_law: str = "Codice Civile") -> DataFrame:

@@ -166,7 +166,7 @@ def entity_upsert(spark, d):
 
 @query
 def has_entity_edges(spark, d):
-    return table(spark, d, "has_entity").distinct()
+    return graph.upsert(table(spark, d, "has_entity"), ["chunk_id", "entity_id"])
 
 
 @query
@@ -389,6 +389,22 @@ def related_edges_whole(spark, d):
     return relations.cluster(table(spark, d, "kb_node"), table(spark, d, "kb_document"))[0].select("src_id", "dst_id", "kind")
 
 
+@query
+def citation_resolution_names(spark, d):
+    """Every cited (law, article) by the best law whose name holds the citation as a phrase, unresolved ones included."""
+    return relations.resolution(table(spark, d, "kb_node"), table(spark, d, "kb_document"), relations.plain_mentions, "name")[1]
+
+
+@query
+def cluster_counts(spark, d):
+    return relations.cluster(table(spark, d, "kb_node"), table(spark, d, "kb_document"), relations.plain_mentions, "name")[1]
+
+
+@query
+def related_edges_names(spark, d):
+    return relations.cluster(table(spark, d, "kb_node"), table(spark, d, "kb_document"), relations.plain_mentions, "name")[0].select("src_id", "dst_id", "kind")
+
+
 @query
 def related_last_write(spark, d):
     e = table(spark, d, "events").withColumn("dst", (F.col("user_id") % 7).cast("string"))
@@ -431,14 +447,12 @@ def paragraph_groups(spark, d):
 
 @query
 def clean_whitespace(spark, d):
-    x = F.regexp_replace(F.regexp_replace("text", " +", " "), r"\n{3,}", "\n\n")
-    return _laws(spark, d).select("doc_id", F.array_join(F.transform(F.split(x, "\n"), lambda s: F.regexp_replace(s, r"[ \t]+\z", "")), "\n").alias("clean"))
+    return _laws(spark, d).select("doc_id", statutes.collapsed(F.col("text")).alias("clean"))
 
 
 @query
 def strip_note_markers(spark, d):
-    # the guard (an article number before the marker on its line) is tested on fixtures; these texts meet no marker of that kind
-    return _laws(spark, d).select("doc_id", F.regexp_replace("text", r"\([0-9]+\)", "").alias("clean"))
+    return _laws(spark, d).select("doc_id", statutes.without_note_markers(F.col("text")).alias("clean"))
 
 
 @query
@@ -469,8 +483,8 @@ def last_turn_answer(spark, d):
 
 @query
 def coalesce_embed_text(spark, d):
-    n = table(spark, d, "kb_node").select("node_id", F.coalesce("contenuto", "rubrica").alias("t"))
-    return n.where("t IS NOT NULL").select("node_id", F.length("t").alias("n"))
+    n = corpus.with_embeddings(table(spark, d, "kb_node").drop("embedding"))
+    return n.where("embedding IS NOT NULL").select("node_id", F.size("embedding").alias("n"))
 
 
 # ---------------------------------------------------------------- operators without SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexweave.functions.vectors import DIM
+
 _ABBR = "art|artt|all|avv|dott|prof|sig|sigg|ing|arch|geom|cap|cfr|cit|co|comma|doc|ecc|es|fasc|fig|lett|n|nn|nr|num|pag|pagg|par|prot|rif|sent|sez|ss|tab|tel|v|vol"
 
 
@@ -79,6 +81,15 @@ _RESOLVED = f"""{_PAIRS}, keyed AS (SELECT node_id AS src, (length({_law_key('do
   dk AS (SELECT doc_key, min(kb_id) AS kb_id FROM (SELECT kb_id, (kb_id % 10)::VARCHAR AS doc_key FROM kb_node) WHERE doc_key IS NOT NULL GROUP BY doc_key),
   ar AS (SELECT kb_id, number, min(node_id) AS node_id FROM (SELECT kb_id, node_id, {_NUMBER} AS number FROM kb_node WHERE label = 'contenuto') WHERE number IS NOT NULL GROUP BY kb_id, number),
   res AS (SELECT c.doc_key, c.number, d.kb_id, a.node_id FROM (SELECT DISTINCT doc_key, number FROM keyed WHERE doc_key IS NOT NULL) c LEFT JOIN dk d USING (doc_key) LEFT JOIN ar a ON a.kb_id = d.kb_id AND a.number = c.number)"""
+_BY_NAME = f"""{_PAIRS}, tok AS (SELECT kb_id, {_tokens('nome_legge')} AS w FROM kb_document WHERE nome_legge IS NOT NULL), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM tok),
+  idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM (SELECT DISTINCT kb_id, unnest(w) AS term FROM tok), st GROUP BY term),
+  nm AS (SELECT name, {_tokens('name')} AS q FROM (SELECT DISTINCT doc AS name FROM pairs)),
+  weight AS (SELECT name, sum(idf) AS idf FROM (SELECT DISTINCT name, unnest(q) AS term FROM nm) JOIN idf USING (term) GROUP BY name),
+  met AS (SELECT name, kb_id, len(w) AS l, idf, len(list_filter(range(1, len(w) - len(q) + 2), lambda i: w[i:i + len(q) - 1] = q))::DOUBLE AS tf
+    FROM nm JOIN weight USING (name), tok WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ')),
+  best AS (SELECT name, kb_id FROM (SELECT name, kb_id, idf * tf / (tf + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM met, st) WHERE score > 0.8 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, kb_id) = 1),
+  ar AS (SELECT kb_id, number, min(node_id) AS node_id FROM (SELECT kb_id, node_id, {_NUMBER} AS number FROM kb_node WHERE label = 'contenuto') WHERE number IS NOT NULL GROUP BY kb_id, number),
+  res AS (SELECT c.doc_key, c.number, b.kb_id, a.node_id FROM (SELECT DISTINCT doc AS doc_key, article AS number FROM pairs) c LEFT JOIN best b ON b.name = c.doc_key LEFT JOIN ar a ON a.kb_id = b.kb_id AND a.number = c.number)"""
 _SCORED = f"scored AS (SELECT node_id, parent_id, label, titolo, contenuto, source, {_score('embedding', _Q0)} AS score FROM kb_node WHERE {_usable('embedding')})"
 _CHILD = "child AS (SELECT * FROM scored WHERE label = 'contenuto' AND parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, node_id) = 1)"
 _START = "start AS (SELECT node_id FROM kb_node WHERE label = 'parti' AND kb_id IN (SELECT kb_id FROM kb_document) UNION SELECT node_id FROM kb_node WHERE label = 'contenuto' AND titolo LIKE 'TITOLO%' AND kb_id IN (SELECT kb_id FROM kb_document))"
@@ -117,6 +128,12 @@ ORACLE: dict[str, str] = {
       st AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, sum(h0::INT)::DOUBLE AS d0, sum(h1::INT)::DOUBLE AS d1 FROM cnt),
       sc AS (SELECT kb_id, (ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5))) * p / (p + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM cnt, st WHERE p > 0)
       SELECT kb_id, round(score, 6) AS score FROM sc WHERE score > 0.8 ORDER BY sc.score DESC, kb_id LIMIT 1""",
+    "phrase_match_documents": f"""WITH tok AS (SELECT kb_id, {_tokens('nome_legge')} AS w FROM kb_document WHERE nome_legge IS NOT NULL),
+      cnt AS (SELECT kb_id, len(w)::DOUBLE AS l, list_contains(w, 'illuminazione') AS h0, list_contains(w, 'pubblica') AS h1,
+        len(list_filter(range(1, len(w)), lambda i: w[i] = 'illuminazione' AND w[i + 1] = 'pubblica'))::DOUBLE AS p FROM tok),
+      st AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, sum(h0::INT)::DOUBLE AS d0, sum(h1::INT)::DOUBLE AS d1 FROM cnt),
+      sc AS (SELECT kb_id, (ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5))) * p / (p + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM cnt, st WHERE p > 0)
+      SELECT kb_id, round(score, 6) AS score FROM sc WHERE score > 0.8 ORDER BY sc.score DESC, kb_id LIMIT 1""",
     "entity_upsert": "SELECT DISTINCT text, label FROM entity WHERE text IS NOT NULL AND label IS NOT NULL",
     "has_entity_edges": "SELECT DISTINCT chunk_id, entity_id FROM has_entity",
     "merge_upsert_documents": """WITH old AS (SELECT text, min(doc_id) AS doc_id, 'leggi' AS source FROM documents WHERE source = 'leggi' AND text IS NOT NULL GROUP BY text),
@@ -186,10 +203,19 @@ ORACLE: dict[str, str] = {
     "paragraph_groups": f"""SELECT doc_id, paragraph::BIGINT AS paragraph, count(*) AS lines, min(line_no)::INT AS first_line FROM (SELECT *, sum(CASE WHEN blank OR kind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS paragraph
       FROM (SELECT doc_id, line_no, {_BLANK} AS blank, CASE WHEN NOT {_BLANK} THEN {_SECTION} END AS kind FROM (SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))))
       WHERE NOT blank GROUP BY ALL""",
-    "clean_whitespace": r"""SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda s: regexp_replace(s, '[ \t]+$', '')), chr(10)) AS clean FROM documents WHERE text IS NOT NULL""",
-    "strip_note_markers": r"SELECT doc_id, regexp_replace(text, '\([0-9]+\)', '', 'g') AS clean FROM documents WHERE text IS NOT NULL",
+    "clean_whitespace": r"""WITH t AS (SELECT doc_id, text, CASE WHEN starts_with(text, 'DECRETO LEGISLATIVO') AND contains(text, chr(10) || chr(10)) THEN string_split(text, chr(10) || chr(10))[1] END AS head FROM documents WHERE text IS NOT NULL),
+      o AS (SELECT doc_id, CASE WHEN head IS NOT NULL THEN trim(regexp_replace(head, '\s+', ' ', 'g')) || chr(10) || chr(10) || substr(text, length(head) + 1) ELSE text END AS x FROM t),
+      l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(x, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS a FROM o)
+      SELECT doc_id, regexp_replace(array_to_string(list_transform(a, lambda s: regexp_replace(s, '\s+$', '')), chr(10)), '\n\z', '') AS clean FROM l""",
+    "strip_note_markers": r"""WITH m AS (SELECT doc_id, text, list_filter(list_distinct(regexp_extract_all(text, '\([0-9]+\)')), lambda k: NOT regexp_matches(text, 'Art\.?\s*\d+.*\(' || substr(k, 2, length(k) - 2) || '\)')) AS loose FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, CASE WHEN len(loose) = 0 THEN text ELSE list_reduce(list_prepend(text, loose), lambda a, k: replace(a, k, '')) END AS clean FROM m""",
+    "citation_resolution_names": f"WITH {_BY_NAME} SELECT doc_key, number, kb_id, node_id FROM res",
+    "related_edges_names": f"WITH {_BY_NAME} SELECT DISTINCT p.node_id AS src_id, r.node_id AS dst_id, 'extensional' AS kind FROM pairs p JOIN res r ON r.doc_key = p.doc AND r.number = p.article WHERE r.node_id IS NOT NULL",
+    "cluster_counts": f"""WITH {_BY_NAME}, acc AS (SELECT p.node_id AS s, r.node_id AS t FROM pairs p JOIN res r ON r.doc_key = p.doc AND r.number = p.article WHERE r.node_id IS NOT NULL), e AS (SELECT DISTINCT s, t FROM acc)
+      SELECT sum(CASE WHEN s = t THEN 1 ELSE 2 END)::BIGINT AS undirected, count(*) AS directed, (SELECT count(*) FROM acc) AS accepted FROM e""",
+    "fulltext_postings_chunks": f"SELECT term, chunk_id, count(*)::INT AS tf, any_value(l)::INT AS len FROM (SELECT chunk_id, len(w) AS l, unnest(w) AS term FROM (SELECT chunk_id, {_tokens('text')} AS w FROM chunk WHERE text IS NOT NULL)) GROUP BY term, chunk_id",
     "api_call_extract": """SELECT chunk_id, 0::INT AS pos, 'search_by_text' AS func, name AS arg1, trim(coalesce(tag, '')) AS arg2 FROM chunk WHERE name IS NOT NULL UNION ALL SELECT chunk_id, 1::INT, 'wide_search', chunk_id, 'y' FROM chunk WHERE name IS NOT NULL""",
     "agent_contexts": "SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), '>') AS contexts FROM events",
     "last_turn_answer": "SELECT name, arg_max(chunk_id, idx) AS chunk_id, max(idx) AS idx FROM chunk GROUP BY name",
-    "coalesce_embed_text": "SELECT node_id, length(coalesce(contenuto, rubrica))::INT AS n FROM kb_node WHERE coalesce(contenuto, rubrica) IS NOT NULL",
+    "coalesce_embed_text": f"SELECT node_id, {DIM}::INT AS n FROM kb_node WHERE CASE label WHEN 'contenuto' THEN coalesce(contenuto, rubrica) WHEN 'parti' THEN rubrica END IS NOT NULL",
 }
