@@ -63,7 +63,7 @@ _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u
 _RUNS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{1,4}|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{1,2}|[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff、，。；|]+")
 _COMMON = {k: re.compile("|".join(v.split())) for k, v in UNSPACED_WORDS.items()}
 #: A list written without blanks: three items or more between commas, bars or semicolons.
-_TIGHT = re.compile(r"(?:[^\s,;|]+[,;|]){3,}")
+_TIGHT = re.compile(r"[,;|][^\s,;|]+[,;|][^\s,;|]+[,;|]")
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _FIGURE = re.compile(r"(?<!\S)[^\s\d]*\d")
 _WORD = re.compile(r"[^\W\d_]+")
