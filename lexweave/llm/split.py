@@ -13,6 +13,7 @@ that is not white space exactly once; repeated rows each give their pieces; extr
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,16 +40,33 @@ def _at(cuts: list[int], a: int, b: int) -> list[Span]:
     return list(zip(points, points[1:]))
 
 
-def _children(text: str, a: int, b: int, level: int) -> list[Span]:
+class _Sentences:
+    """The sentences of a text, of which those within the limit are not to be cut."""
+
+    def __init__(self, text: str, limit: int):
+        self.limit = limit
+        self.starts, self.ends = map(list, zip(*spans(text))) if text.strip() else ([], [])
+
+    def between(self, cuts: list[int]) -> list[int]:
+        """The cuts that fall in no sentence within the limit."""
+        out = []
+        for c in cuts:
+            k = bisect_left(self.starts, c) - 1
+            if k < 0 or c >= self.ends[k] or self.ends[k] - self.starts[k] > self.limit:
+                out.append(c)
+        return out
+
+
+def _children(text: str, a: int, b: int, level: int, sentences: _Sentences) -> list[Span]:
     """The nodes of the next level inside [a, b), without gaps."""
     if level == 0:
-        return _at([m.start() for m in _HEADING_LINE.finditer(text, a, b)], a, b)
+        return _at(sentences.between([m.start() for m in _HEADING_LINE.finditer(text, a, b)]), a, b)
     if level == 1:
-        return _at([m.end() for m in _BLANK_LINE.finditer(text, a, b)], a, b)
+        return _at(sentences.between([m.end() for m in _BLANK_LINE.finditer(text, a, b)]), a, b)
     if level == 2:
-        return _at([m.start() for m in _ITEM.finditer(text, a, b)], a, b)
+        return _at(sentences.between([m.start() for m in _ITEM.finditer(text, a, b)]), a, b)
     if level == 3:
-        return _at([a + s for s, _ in spans(text[a:b])], a, b)
+        return _at(sentences.starts[bisect_left(sentences.starts, a) : bisect_left(sentences.starts, b)], a, b)
     if level == 4:
         return _at([m.start() for m in _CLAUSE.finditer(text, a, b)], a, b)
     return _at([m.end() for m in _WORD.finditer(text, a, b)], a, b)
@@ -63,11 +81,11 @@ def _length(text: str, a: int, b: int) -> int:
     return b - a
 
 
-def _packed(text: str, a: int, b: int, limit: int, level: int = 0) -> list[Span]:
+def _packed(text: str, a: int, b: int, limit: int, sentences: _Sentences, level: int = 0) -> list[Span]:
     if b - a <= limit or _length(text, a, b) <= limit:
         return [(a, b)]
     while level < 6:
-        kids = _children(text, a, b, level)
+        kids = _children(text, a, b, level, sentences)
         level += 1
         if len(kids) > 1:
             break
@@ -75,7 +93,7 @@ def _packed(text: str, a: int, b: int, limit: int, level: int = 0) -> list[Span]
         return [(x, min(x + limit, b)) for x in range(a, b, limit)]
     merged: list[Span] = []
     for x, y in kids:
-        for p, q in _packed(text, x, y, limit, level):
+        for p, q in _packed(text, x, y, limit, sentences, level):
             if merged and (q - merged[-1][0] <= limit or _length(text, merged[-1][0], q) <= limit):
                 merged[-1] = (merged[-1][0], q)
             else:
@@ -94,7 +112,7 @@ def pieces(text: str | None, limit: int = 1200, overlap: int = 120) -> list[tupl
     if b - a <= limit:
         return [(a, a, b)]
     out: list[tuple[int, int, int]] = []
-    for x, y in _packed(text, a, b, limit - overlap):
+    for x, y in _packed(text, a, b, limit - overlap, _Sentences(text, limit - overlap)):
         while y > x and text[y - 1].isspace():
             y -= 1
         while x < y and text[x].isspace():

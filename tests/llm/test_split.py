@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexweave.llm.sentences import spans
 from lexweave.llm.split import pieces, split_pieces
 
 
@@ -49,3 +50,15 @@ def test_edges(spark):
     assert sorted((r.node_id, r.piece, r.pieces) for r in rows) == [("a", 0, 2), ("a", 1, 2), ("c", 0, 1), ("c", 0, 1)]
     assert all(r.piece_text == ("x " * 900)[r.start_pos : r.end_pos] for r in rows if r.node_id == "a")
     assert split_pieces(df.limit(0), "node_id", "text").count() == 0
+
+
+def test_sentences_that_fit_are_not_cut():
+    sentence = "La parte ha chiesto quanto segue\n1. la somma dovuta\n- gli interessi\nTITOLO II\n\nin ogni caso le spese del giudizio."
+    text = " ".join([sentence] * 40)
+    got = pieces(text, 600, 60)
+    assert len(got) > 5 and all(b - a <= 600 for a, _, b in got)
+    for (_, _, e), (a, x, _) in zip(got, got[1:]):
+        assert e - a <= 60 and not text[e:x].strip()
+        assert all(not s < e < z for s, z in spans(text))
+    # a sentence above the limit is cut at its lines
+    assert all(b - a <= 200 for a, _, b in pieces("parola che continua\n" * 100, 200, 20))
