@@ -9,7 +9,8 @@ Lists are joined by equality of their number and compared block-wise inside a li
 
 Every usable vector is indexed; only the fit sees a sample (``sample`` vectors, 50,000 by default, chosen by hash of
 the id; the driver holds that many and no more). For tables far beyond a few hundred million vectors give a larger
-sample, since the number of lists is bounded by it.
+sample, since the number of lists is bounded by it; lists that are expected to hold more than ``most`` members are
+split into blocks, so that no task gets more, with the same result.
 
 Defined results: vectors of another length, with null, NaN or infinite entries or all zero are unusable and have no
 neighbours; norms do not matter; copies of a vector are indexed once and come out as neighbours of each other with
@@ -156,7 +157,7 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def class_neighbours(
-    df: DataFrame, id_col: str, vec_col: str, k: int, dim: int, floor: float | None, query: str | None, list_size: int, replicas: int, probes: int, close: float, wide: float, sample: int
+    df: DataFrame, id_col: str, vec_col: str, k: int, dim: int, floor: float | None, query: str | None, list_size: int, replicas: int, probes: int, close: float, wide: float, sample: int, most: int
 ) -> tuple[DataFrame, DataFrame]:
     """(members, edges): rows (id, cls, asks) and rows (cls, near, sim), each class with its k nearest other ones."""
     spark = df.sparkSession
@@ -168,6 +169,8 @@ def class_neighbours(
     _, fit = usable(rows.combine_chunks().to_batches()[0], 0, dim) if rows.num_rows else (None, np.zeros((0, dim), np.float32))
     fit = np.unique(fit, axis=0)
     leaf = max(4, round(list_size * len(fit) / max(1, n)))
+    # lists of more than ``most`` members, as there are once the sample bounds their number, lie in blocks of their own tasks
+    blocks = max(1, -(-n * replicas * leaf // (max(1, len(fit)) * most)))
     lists = spark.sparkContext.broadcast(Lists(fit, leaf) if len(fit) else Lists(np.zeros((1, dim), np.float32), 4))  # at most ``sample`` centroids
 
     def classes(v: np.ndarray) -> np.ndarray:
@@ -208,10 +211,16 @@ def class_neighbours(
                 looks = (ids >= 0) & (d <= wide * d[:, :1] + 1e-6) & asks[:, None]
                 looks[:, probes:] = False
                 r, j = np.nonzero(member | looks)
-                role = member[r, j].astype(np.int8) + 2 * looks[r, j].astype(np.int8)
+                # a member lies in one block of its list, a vector that looks goes to all of them
+                home = cls[r] % blocks
+                times = np.where(looks[r, j], blocks, 1)
+                e = np.repeat(np.arange(len(r)), times)
+                block = np.where(times[e] > 1, np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times), home[e])
+                r, j, home = r[e], j[e], home[e]
+                role = (member[r, j] & (block == home)).astype(np.int8) + 2 * looks[r, j].astype(np.int8)
                 raw = v[r].tobytes()
                 vec = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(np.arange(0, 4 * dim * len(r) + 1, 4 * dim, np.int32).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int32)), pa.array(cls[r]), pa.array(role.astype(np.int32)), vec], ["list", "cls", "role", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, j].astype(np.int64) * blocks + block), pa.array(cls[r]), pa.array(role.astype(np.int32)), vec], ["list", "cls", "role", "vec"])
 
     def compare(group: pa.Table) -> pa.Table:
         g = group.combine_chunks()
@@ -263,7 +272,7 @@ def class_neighbours(
         return pa.table({"cls": c[0].astype(np.int64), "near": c[1].astype(np.int64), "sim": c[2].astype(np.float64)})
 
     members = src.mapInArrow(who, f"id {kind}, cls long, asks boolean")
-    posted = spread(src).mapInArrow(post, "list int, cls long, role int, vec binary")
+    posted = spread(src).mapInArrow(post, "list long, cls long, role int, vec binary")
     edges = posted.groupBy("list").applyInArrow(compare, "cls long, near long, sim double")
     edges = edges.groupBy("cls", "near").agg(F.max("sim").alias("sim"))
     best = edges.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "near"))).alias("l"))  # at most k x probes entries
@@ -274,13 +283,14 @@ def class_neighbours(
 def nearest(
     df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, floor: float | None = None, query: str | None = None,
     list_size: int = 400, replicas: int = 3, probes: int = 48, close: float = 1.1, wide: float = 1.5, sample: int = 50_000,
+    most: int = 20_000,
 ) -> DataFrame:
     """Rows (``id_col``, near_id, similarity): for each usable vector (for which ``query`` holds) its k most similar ones.
 
     With ``floor`` only neighbours of at least that similarity come out; so close a pair shares its nearest lists,
     so few probes do.
     """
-    members, edges = class_neighbours(df, id_col, vec_col, k, dim, floor, query, list_size, replicas, probes, close, wide, sample)
+    members, edges = class_neighbours(df, id_col, vec_col, k, dim, floor, query, list_size, replicas, probes, close, wide, sample, most)
     members = checkpointed(members)
     edges = checkpointed(edges)
     several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")

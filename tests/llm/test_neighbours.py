@@ -62,3 +62,10 @@ def test_lists_are_balanced():
     assert np.bincount(a).max() <= 200
     ids, d = lists.search(x[:500].astype(np.float32), 5)
     assert (ids[:, 0] == a[:500]).mean() > 0.8 and (np.diff(d, axis=1) >= 0).all()
+
+
+def test_blocks_of_long_lists_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 8)))], "id long, embedding array<double>")
+    one, many = ({(r.id, r.near_id) for r in nb.nearest(df, "id", "embedding", k=3, dim=8, list_size=60, most=m).collect()} for m in (20_000, 40))
+    assert one == many and len(one) == 1800
