@@ -20,7 +20,7 @@ extra columns are ignored; texts are read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.session import checkpointed, spread
+from lexweave.session import checkpointed, parallelism, spread
 
 SEGMENTS, WIDTH, SKETCH = 12, 5, 54
 #: Sketch bits that must agree: at a similarity of 0.6, 43 of 54 are expected, with a deviation of 2.9.
 AGREE = 32
 #: Different classes a key may pair directly; beyond, the exact join takes over.
 RUN = 2000
+#: One text in so many tells which keys are frequent.
+SAMPLED = 64
 #: Bits that tell most classes without a candidate from the rest, before their sets are exchanged. A full bitmap
 #: only stops saving work.
 BITS = 1 << 23
@@ -180,9 +182,11 @@ def _run_pairs(key: np.ndarray, cls: np.ndarray, sketch: np.ndarray, ratio: floa
     return left, right
 
 
-def links(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: float = 0.6, least_words: int = 10) -> DataFrame:
-    """Rows (class_a, class_b, similarity): linked classes of different texts, class_a < class_b."""
-    src = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+_KEYED = "key long, cls long, sketch long"
+
+
+def _index(k: int, least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What writes the keys of texts: rows (key, cls, sketch)."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,6 +201,21 @@ def links(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: floa
                 cls = np.array([c for c, _ in got], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cls, n)), pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "cls", "sketch"])
 
+    return index
+
+
+def frequent_keys(src: DataFrame, k: int = 3, least_words: int = 10) -> list[int]:
+    """Keys of src(text) so frequent, by one text in ``SAMPLED``, that one would fill half a task: at most two for each task."""
+    some = src.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counted = checkpointed(some.mapInArrow(_index(k, least_words), _KEYED).select("key", "cls").distinct().groupBy("key").count())
+    total = counted.agg(F.sum("count").alias("n")).first()["n"] or 0
+    return [r["key"] for r in counted.where(F.col("count") > max(1, RUN / SAMPLED, total / (2 * parallelism(src.sparkSession)))).select("key").collect()]
+
+
+def links(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: float = 0.6, least_words: int = 10) -> DataFrame:
+    """Rows (class_a, class_b, similarity): linked classes of different texts, class_a < class_b."""
+    src = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
         hot = None  # key of a run too long to be paired
@@ -251,8 +270,16 @@ def links(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: floa
         if (big := n[inv] > RUN).any():
             yield out([np.unique(c_[big])], [None])
 
-    keyed = spread(src).mapInArrow(index, "key long, cls long, sketch long").repartition("key").sortWithinPartitions("key", "cls")
-    met = checkpointed(keyed.mapInArrow(meet, "a long, b long").distinct())
+    keyed = spread(src).mapInArrow(_index(k, least_words), _KEYED)
+    # classes of frequent keys go to the exact join at once and are not sent to one task
+    frequent = frequent_keys(src, k, least_words)
+    apart = None
+    if frequent:
+        hot_keys = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in frequent], "key long"))  # at most 2 x tasks keys
+        apart = keyed.join(hot_keys, "key", "left_semi").select(F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"))
+        keyed = keyed.join(hot_keys, "key", "left_anti")
+    met = keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long")
+    met = checkpointed((met if apart is None else met.unionByName(apart)).distinct())
     pairs = met.where("b IS NOT NULL")
     wanted = met.select(F.explode(F.array("a", "b")).alias("cls")).where("cls IS NOT NULL").distinct()
 

@@ -80,3 +80,24 @@ def test_words_are_letters_marks_digits(text):
             got.append(cur)
             cur = ""
     assert nd.words(text) == got
+
+
+def test_boilerplate_shared_by_different_texts(spark, monkeypatch):
+    rnd = random.Random(4)
+    boilerplate = " ".join(f"clausola{i}" for i in range(60))
+    rows = [(f"h{i:02d}", boilerplate + " " + " ".join(rnd.choices("abcdefgh", k=rnd.randint(3, 6)))) for i in range(40)] + corpus(6, 20)
+    want = brute(rows)
+    import pyspark.cloudpickle as cp
+
+    cp.register_pickle_by_value(nd)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        monkeypatch.setattr(nd, "SAMPLED", 1)
+        monkeypatch.setattr(nd, "RUN", 10)
+        spark.conf.set("spark.sql.shuffle.partitions", "120")
+        assert nd.frequent_keys(spark.createDataFrame(rows, "chunk_id string, text string").select("text").where("text IS NOT NULL")) != []
+        got, _ = found(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        cp.unregister_pickle_by_value(nd)
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 700
