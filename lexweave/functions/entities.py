@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rules of the default extractor: label and pattern. Without a model it knows only what has a form.
+#: Labels of the default extractor (fixed values) and a rule for each. Without a model it knows only what has a form or a usual word.
 RULES = {
     "data": r"\b\d{1,2}°?\s+(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\s+\d{4}\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b",
     "importo": r"€\s?\d[\d.]*(?:,\d+)?|\b\d[\d.]*(?:,\d+)?\s?(?:€|euro\b)|\bEUR\s?\d[\d.,]*\d",
     "legge": r"\b(?:art\.|articolo)\s?\d+(?:-\w+)?[^.;\n]{0,40}?(?:L\.|d\.lgs\.|codice)[^,.;\n]{0,40}",
     "numero": r"\b(?:n\.|nr\.|R\.G\.)\s?\d+[/-]\d{4}\b",
+    "persona": r"\b(?:avv\.|dott\.(?:ssa)?|sig\.(?:ra)?|prof\.(?:ssa)?|ing\.|notaio)\s(?:[A-ZÀ-Þ][\w'’]+\s?){1,3}",
+    "indirizzo": r"\b(?:[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]orso|[Ll]argo|[Vv]icolo)\s(?:[A-ZÀ-Þ]?[\w'’]+\s?){1,4},?\s(?:n\.\s?)?\d+(?:/\w+)?",
+    "ente giuridico": r"\b(?:Tribunale|Corte (?:d['’]appello|di cassazione|dei conti|costituzionale)|Comune|Provincia|Regione|Ministero|Procura)(?:\s(?:di|del|della|dell['’])\s?[A-ZÀ-Þ]?[\w'’]+)?",
+    "organizzazione": r"\b(?:Associazione|Fondazione|Sindacato|Consorzio|Comitato|Ordine)\s(?:(?:di|del|della|degli|dei)\s)?(?:[A-ZÀ-Þ][\w'’]+\s?){1,4}",
+    "località": r"\b\d{5}\s[A-ZÀ-Þ][\w'’]+(?:\s[A-ZÀ-Þ][\w'’]+)*(?:\s\([A-Z]{2}\))?",
+    "ruolo": r"\b(?:il|la|lo|l['’])\s?(?:ricorrente|resistente|convenut[oa]|attore|attrice|appellante|appellat[oa]|imputat[oa]|curatore|custode|giudice|notaio|perito|consulente tecnico)\b",
+    "procedura legale": r"\b(?:ricorso|decreto ingiuntivo|atto di citazione|opposizione|appello|esecuzione (?:immobiliare|mobiliare)|sequestro conservativo|mediazione|concordato preventivo)\b",
+    "contratto": r"\bcontratto\s(?:di|d['’])\s?\w+(?:\s\w+)?|\b(?:locazione|compravendita|mutuo|appalto|comodato)\b",
+    "soggetto": r"\b(?:creditore|debitore|locatore|conduttore|datore di lavoro|lavoratore|lavoratrice|erede|condomino)\b",
+    "oggetto": r"\b(?:immobile|terreno|fondo|veicolo|autovettura|merce|canone|servitù|ipoteca)\b",
     "azienda": r"\b(?:[A-Z]\w+\s){1,4}(?:S\.p\.A\.|S\.r\.l\.|S\.n\.c\.|soc\. coop\.|onlus)",
 }
 

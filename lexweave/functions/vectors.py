@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -87,17 +88,28 @@ def hash_embedding(texts: list[str], dim: int = DIM) -> np.ndarray:
     return out
 
 
-def embed(text: Column, provider: Callable[[], EmbeddingProvider] | None = None) -> Column:
-    """Embedding of a text column. ``provider`` is called once in each worker; a failing batch gives null."""
+#: Words of a text an embedding model is given; what is beyond is cut off, as its window would.
+MOST_WORDS = 512
+
+
+def embed(text: Column, provider: Callable[[], EmbeddingProvider] | None = None, dim: int = DIM, most: int | None = MOST_WORDS, zero: bool = True) -> Column:
+    """Embedding of a text column. ``provider`` is called once in each worker and given at most ``most`` words of a text.
+
+    A failing batch gives zero vectors of ``dim``, which are no candidates of a search and are counted by
+    ``quality.vector_report``; with ``zero`` false it gives nulls.
+    """
+    none = [0.0] * dim if zero else None
+    beyond = re.compile(rf"(\s*(?:\S+\s+){{{most - 1}}}\S+)\s.*", re.S) if most else None
+    cut = lambda x: m.group(1) if beyond and (m := beyond.fullmatch(x)) else x
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = provider() if provider else hash_embedding
         for s in batches:
             try:
-                v = model([x if isinstance(x, str) else "" for x in s])
+                v = model([(cut(x) if provider else x) if isinstance(x, str) else "" for x in s])
                 yield pd.Series([list(map(float, r)) for r in v])
             except Exception:  # noqa: BLE001 - a failing provider must not end the job
-                yield pd.Series([None] * len(s))
+                yield pd.Series([none] * len(s))
 
     return run(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import tokens
@@ -76,6 +76,31 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("c.term", "id", "c.tf", "len")
 
 
+#: Parts an index is written in; a term lies in one of them.
+PARTS = 64
+
+
+def write_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
+    """Stores the inverted table in parts by term, and the statistics of the corpus, for ``search_index``."""
+    part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
+    postings(docs, id_col, text_col).withColumn("part", part).repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    counted = docs.where(F.col(text_col).isNotNull()).select(F.regexp_count(F.lower(text_col), F.lit(WORD)).cast("double").alias("len"))
+    counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("average")).write.mode("overwrite").parquet(f"{folder}/statistics")
+
+
+def search_index(spark: SparkSession, folder: str, id_col: str, query: str) -> DataFrame:
+    """The rows of ``search`` from a stored index: only the parts of the query's terms are read, and of these only their row groups."""
+    terms = query_terms(query)
+    stored = spark.read.parquet(f"{folder}/postings")
+    asked = spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part")).collect()
+    hits = stored.where(F.col("part").isin([r["part"] for r in asked]) & F.col("term").isin(terms)).select("term", "id", F.col("tf").cast("double").alias("tf"), F.col("len").cast("double").alias("len"))
+    stats = spark.read.parquet(f"{folder}/statistics")
+    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row for each term of the query
+    scored = hits.join(F.broadcast(df_), "term").crossJoin(F.broadcast(stats))
+    score = _bm25([F.col("tf")], [F.col("df")], F.col("n"), F.col("len"), F.col("average"))
+    return scored.groupBy(F.col("id").alias(id_col)).agg(F.sum(score).alias("score"))
+
+
 def contains(docs: DataFrame, text_col: str, needle: str) -> DataFrame:
     """Documents whose text holds ``needle``, letter case aside."""
     return docs.where(F.contains(F.lower(text_col), F.lit(needle.lower())))

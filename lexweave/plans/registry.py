@@ -470,6 +470,14 @@ def api_call_extract(spark, d):
     return rows.select("chunk_id", "pos", "c.func", "c.arg1", "c.arg2")
 
 
+@query
+def end_querying_answers(spark, d):
+    """The final answer of a response, whatever else it calls, with its references to characters resolved."""
+    said = F.concat(F.lit("penso <api>search_article('5')</api> e <api>end_querying(Il saldo di "), F.col("name"), F.lit(" &egrave; 5 (cinque) &amp; basta.)</api>"))
+    rows = table(spark, d, "chunk").select("chunk_id", F.posexplode(tx.tool_calls(said)).alias("pos", "c"))
+    return rows.where("c.func = 'end_querying'").select("chunk_id", "pos", tx.html_unescape(F.col("c.arg1")).alias("answer"))
+
+
 @query
 def agent_contexts(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)

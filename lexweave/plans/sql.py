@@ -215,6 +215,7 @@ ORACLE: dict[str, str] = {
       SELECT sum(CASE WHEN s = t THEN 1 ELSE 2 END)::BIGINT AS undirected, count(*) AS directed, (SELECT count(*) FROM acc) AS accepted FROM e""",
     "fulltext_postings_chunks": f"SELECT term, chunk_id, count(*)::INT AS tf, any_value(l)::INT AS len FROM (SELECT chunk_id, len(w) AS l, unnest(w) AS term FROM (SELECT chunk_id, {_tokens('text')} AS w FROM chunk WHERE text IS NOT NULL)) GROUP BY term, chunk_id",
     "api_call_extract": """SELECT chunk_id, 0::INT AS pos, 'search_by_text' AS func, name AS arg1, trim(coalesce(tag, '')) AS arg2 FROM chunk WHERE name IS NOT NULL UNION ALL SELECT chunk_id, 1::INT, 'wide_search', chunk_id, 'y' FROM chunk WHERE name IS NOT NULL""",
+    "end_querying_answers": "SELECT chunk_id, 1::INT AS pos, 'Il saldo di ' || name || ' è 5 (cinque) & basta.' AS answer FROM chunk WHERE name IS NOT NULL",
     "agent_contexts": "SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), '>') AS contexts FROM events",
     "last_turn_answer": "SELECT name, arg_max(chunk_id, idx) AS chunk_id, max(idx) AS idx FROM chunk GROUP BY name",
     "coalesce_embed_text": f"SELECT node_id, {DIM}::INT AS n FROM kb_node WHERE CASE label WHEN 'contenuto' THEN coalesce(contenuto, rubrica) WHEN 'parti' THEN rubrica END IS NOT NULL",

@@ -86,8 +86,14 @@ def test_failing_providers(spark):
         return f
 
     df = spark.createDataFrame([("x",)], "t string")
-    r = df.select(vec.embed(F.col("t"), broken).alias("e"), entities.extract(F.col("t"), broken).alias("x"), entities.classify(F.col("t"), broken).alias("c")).first()
-    assert r.e is None and r.x == [] and r.c == 0
+    r = df.select(vec.embed(F.col("t"), broken, zero=False).alias("e"), vec.embed(F.col("t"), broken, 3).alias("z"), entities.extract(F.col("t"), broken).alias("x"), entities.classify(F.col("t"), broken).alias("c")).first()
+    assert r.e is None and r.z == [0.0, 0.0, 0.0] and r.x == [] and r.c == 0
+
+    def counting():
+        return lambda texts: [[float(len(t.split()))] for t in texts]
+
+    df = spark.createDataFrame([("a  b c d",), ("a b",), (" ",), (None,)], "t string")
+    assert [r.e for r in df.select(vec.embed(F.col("t"), counting, most=3).alias("e")).collect()] == [[3.0], [2.0], [0.0], [0.0]]
 
 
 def test_entities_and_spans(spark):

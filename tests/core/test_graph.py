@@ -81,7 +81,7 @@ def test_cluster_and_intensional(spark):
     edges, counts = relations.cluster(nodes, docs)
     # a law once named stays: article 9 is paired with the code before it, where there is none
     assert {(r.src_id, r.dst_id) for r in edges.collect()} == {("n1", "n2"), ("n3", "n3")}
-    assert tuple(counts.first()) == (3, 2)
+    assert tuple(counts.first()) == (3, 2, 2)
     comments = spark.createDataFrame([("a", 1, "1", "cfr. art. 9 L. 5/2001 vecchio"), ("b", 1, "1", "cfr. art. 9 L. 5/2001 nuovo"), ("b", 2, None, "x")], "file string, line_no int, article_number string, text string")
     got = relations.intensional(comments, nodes, docs, "Codice della navigazione lacustre").collect()
     assert [tuple(r) for r in got] == [("n1", "n3", "cfr. art. 9 L. 5/2001 nuovo", "intensional")]
@@ -125,6 +125,14 @@ def test_adjacent_over_spans(spark, monkeypatch):
     assert got == want
 
 
+def test_stored_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Codice della strada"), (2, "codice penale della navigazione"), (3, None), (4, "strada strada"), (5, "illuminazione della pubblica via"), (6, "")], "id int, t string")
+    fulltext.write_index(df, "id", "t", str(tmp_path))
+    for query in ("strada codice", "della", "assente", "Strada assente"):
+        want = {r.id: round(r.score, 9) for r in fulltext.search(df, "id", "t", query).collect()}
+        assert {r.id: round(r.score, 9) for r in fulltext.search_index(spark, str(tmp_path), "id", query).collect()} == want
+
+
 def test_fulltext(spark):
     df = spark.createDataFrame([(1, "Codice della strada"), (2, "codice penale della navigazione"), (3, None), (4, "strada"), (5, "illuminazione della pubblica via")], "id int, t string")
     assert [r.id for r in fulltext.search(df, "id", "t", "della strada", phrase=True).collect()] == [1]
