@@ -353,13 +353,13 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold:
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, k: int = 3, threshold: float = 0.6, least_words: int = 10) -> DataFrame:
-    """One row for each record: ``id_col``, class (null if too short), copies, linked classes. Never larger than the input."""
+    """One row for each record: ``id_col``, class (its least id; null if too short), copies, linked classes. Never larger than the input."""
     who = members(df, id_col, text_col, k, least_words)
     found = links(df, id_col, text_col, k, threshold, least_words)
     degree = found.select(F.explode(F.array("class_a", "class_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    size = who.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).join(degree, "cls", "left")
-    told = who.join(size, "cls").select(F.col(id_col).alias("id"), "cls", "copies", "links")
+    size = who.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("class_id")).join(degree, "cls", "left")
+    told = who.join(size, "cls").select(F.col(id_col).alias("id"), "class_id", "copies", "links")
     return (
         df.select(F.col(id_col).alias("id")).distinct().join(told, "id", "left")
-        .select(F.col("id").alias(id_col), F.col("cls").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select(F.col("id").alias(id_col), "class_id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
     )

@@ -18,4 +18,12 @@ ORACLE: dict[str, str] = {
       e AS (SELECT chunk_id, len(s) AS n, unnest(s) AS x FROM s),
       c AS (SELECT a.chunk_id AS p, b.chunk_id AS q, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY ALL)
       SELECT p AS chunk_id_a, q AS chunk_id_b FROM c WHERE c >= 0.6 * (n + m - c)""",
+    "p7_classes": r"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM chunk WHERE text IS NOT NULL),
+      k AS (SELECT w, min(chunk_id) AS class_id, count(*) AS copies FROM w WHERE len(w) >= 10 GROUP BY w),
+      s AS (SELECT class_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM k),
+      e AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM s),
+      c AS (SELECT a.class_id AS p, b.class_id AS q, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY ALL),
+      g AS (SELECT p AS class_id, count(*) AS links FROM c WHERE c >= 0.6 * (n + m - c) GROUP BY p),
+      t AS (SELECT chunk_id, class_id, copies FROM w JOIN k USING (w))
+      SELECT chunk.chunk_id, t.class_id, coalesce(t.copies, 1) AS copies, coalesce(g.links, 0) AS links FROM chunk LEFT JOIN t ON t.chunk_id = chunk.chunk_id LEFT JOIN g ON g.class_id = t.class_id""",
 }
