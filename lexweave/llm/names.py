@@ -66,6 +66,8 @@ _TITLE = re.compile(r"^(?:sig\.? ?(?:ra|na)\.?|sig\.?|avv\.?|avvocato|dott\.? ?s
 
 def plain(s: str) -> str:
     """Lower case without accents and apostrophes."""
+    if s.isascii():
+        return s.lower().replace("'", "").replace("`", "")
     s = unicodedata.normalize("NFD", s.lower())
     return "".join(c for c in s if not unicodedata.combining(c) and c not in "'’`´")
 
@@ -78,14 +80,24 @@ def squeezed(s: str) -> str:
 WHOLE = "*"
 
 
+def _lesser(word: str) -> set[str]:
+    """The word and what is left of it without one character; words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 class Lexicon:
     """Lists that help to tell given names and lines of business; any may be empty."""
 
     def __init__(self, given: list[str] = (), double: list[str] = (), pet: dict[str, str] | None = None, short: set[str] = frozenset(), lines: list[str] = ()):  # type: ignore[assignment]
-        self.double, self.short, self.lines = tuple(double), set(short), tuple(lines)
+        self.short, self.lines = set(short), tuple(lines)
+        self.double = [(squeezed(d), [(squeezed(w), w) for w in d.split()]) for d in double]
         self.names = {squeezed(g): squeezed(g) for g in (*given, *double)} | {plain(p): squeezed(g.replace("_", " ")) for p, g in (pet or {}).items()}
         self.long = sorted({(squeezed(g), plain(g)) for g in given if len(squeezed(g)) > 4})
         self.line_words = {plain(w): b for b in lines for w in b.split()}
+        self.near: dict[str, set[int]] = {}
+        for k, pair in enumerate(self.long):
+            for x in set().union(*map(_lesser, pair)):
+                self.near.setdefault(x, set()).add(k)
         self.given, self.business = lru_cache(200_000)(self._given), lru_cache(200_000)(self._business)
 
     def _given(self, token: str) -> str | None:
@@ -96,7 +108,8 @@ class Lexicon:
         if s in self.names:
             return self.names[s]
         if len(p) >= 4:
-            for g, whole in self.long:
+            met = set().union(*(self.near.get(x, ()) for x in _lesser(s) | _lesser(p)))
+            for g, whole in (self.long[k] for k in sorted(met)):
                 if one_edit(s, g) or one_edit(p, whole):
                     return g
         return None
@@ -113,7 +126,7 @@ class Lexicon:
             return hits.pop() if len(hits) == 1 else None
         if len(w) >= 6:
             for x, b in self.line_words.items():
-                if one_edit(w, x):
+                if abs(len(x) - len(w)) < 2 and one_edit(w, x):
                     return b
         return None
 
@@ -163,11 +176,11 @@ def parse(text: str | None, lexicon: Lexicon | None = None) -> tuple[str, str, s
     # persons
     joined = " ".join(tokens)
     full = short = ""
-    for d in lx.double:
-        ws = d.split()
+    known = [(lx.given(x), plain(x)) for x in tokens]
+    for d, ws in lx.double:
         for k in range(len(tokens) - 1):
-            if all(lx.given(x) == squeezed(w) or one_edit(plain(x), w) for x, w in zip(tokens[k : k + 2], ws)):
-                full = squeezed(d)
+            if all(g == q or one_edit(x, w) for (g, x), (q, w) in zip(known[k : k + 2], ws)):
+                full = d
                 del tokens[k : k + 2]
                 break
         if full:
